@@ -74,6 +74,13 @@ copies AS (SELECT *, substr(md5('shuffle:0:' || doc_id || ':' || copy), 1, 15) A
 
 
 SQL: dict[str, str] = {
+    "op1_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20""",
     "op6_line_dedup": _op6(),
     "op10_mixing": f"WITH {mixing_sql(MIX_WEIGHTS).strip()} SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, mix_key FROM copies",
     "op5_quality_rules": _op5(),

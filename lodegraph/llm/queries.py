@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, pii, quality
+from . import linededup, mixing, pii, quality, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in counts], F.array_join("q_failed", ",").alias("failed_rules"))
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 20 = 0", k=20)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE))
@@ -37,14 +41,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("ld_lines").cast("long").alias("n_lines"), F.size("ld_cut").cast("long").alias("n_removed"), linededup.runs(F.col("ld_cut")).alias("removed_runs"), kept.alias("kept_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(documents(spark, sf_dir))
+    return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), mixing.MIX_WEIGHTS)
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_topk": op1_topk,
         "op2_pii": op2_pii,
         "op6_line_dedup": op6_line_dedup,
+        "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
         "op5_quality_rules": op5_quality_rules,
     }
