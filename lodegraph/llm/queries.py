@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, pii, quality, simhash, topk
+from . import linededup, mixing, packing, pii, quality, simhash, tokenfile, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.written(documents(spark, sf_dir))
+    found = tokenfile.read(spark, path).select("doc_id", "shard", "shard_start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    placed = found.join(tokenfile.shard_starts(spark, path), F.col("shard") == F.col("of_shard"))
+    return placed.select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,6 +48,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("ld_lines").cast("long").alias("n_lines"), F.size("ld_cut").cast("long").alias("n_removed"), linededup.runs(F.col("ld_cut")).alias("removed_runs"), kept.alias("kept_sha256"))
 
 
+def packed(found: DataFrame) -> DataFrame:
+    """Places of pieces, with the checksum of their ids instead of the ids."""
+    slim = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
+    return packing.place(slim, found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(packing.pieces(documents(spark, sf_dir)))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(documents(spark, sf_dir))
     return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,8 +72,10 @@ def queries() -> dict[str, Query]:
         "op1_topk": op1_topk,
         "op2_pii": op2_pii,
         "op6_line_dedup": op6_line_dedup,
+        "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
+        "op4_token_file": op4_token_file,
         "op5_quality_rules": op5_quality_rules,
     }
 
