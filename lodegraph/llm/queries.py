@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, pii, quality, simhash, tokenfile, topk
+from . import linededup, mixing, packing, pii, quality, simhash, substring, tokenfile, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.repeats_removed(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.written(documents(spark, sf_dir))
     found = tokenfile.read(spark, path).select("doc_id", "shard", "shard_start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_token_file": op4_token_file,
         "op5_quality_rules": op5_quality_rules,
     }
