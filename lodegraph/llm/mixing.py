@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import checkpoint, let
 
 #: Hexadecimal digits that make a uniform number, exact in a double.
 DIGITS = 13
 #: A Poisson table stops where less than this is left; draws beyond go to its last entry.
 TAIL = 1e-12
+#: Most sources whose tables (some 300 bytes each, 15 KB at the largest rates) are broadcast.
+BROADCAST_SOURCES = 2000
 
 #: Target shares of the mixture; sources without an entry get none. src0 holds a third of the rows, src19 is left out.
 MIX_WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 19)}
@@ -62,7 +64,9 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_
     """
     rates = source_rates(df, weights, source, epochs)
     whole = F.when(F.col("mix_rate") > 500, F.floor(F.col("mix_rate")) - 100).otherwise(F.lit(0)).cast("int")
-    rates = rates.select("mix_source", whole.alias("mix_whole"), poisson_cdf(F.col("mix_rate") - whole).alias("mix_cdf"))
+    rates = checkpoint(rates.select("mix_source", whole.alias("mix_whole"), poisson_cdf(F.col("mix_rate") - whole).alias("mix_cdf")))
+    if rates.count() <= BROADCAST_SOURCES:  # else the join deals documents by source, and Spark splits the hot ones
+        rates = F.broadcast(rates)
     docs = df.drop("copy", "mix_key")
     kept = docs.columns
     ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
