@@ -107,3 +107,10 @@ def runs(cut: Column) -> Column:
     """Maximal runs of a sorted array of line numbers, as "first-last" joined by commas."""
     edges = lambda c: (F.array_sort(F.array_except(c, F.transform(c, lambda x: x + 1))), F.array_sort(F.array_except(c, F.transform(c, lambda x: x - 1))))
     return let(cut, lambda c: F.array_join(F.zip_with(*edges(c), lambda a, b: F.concat_ws("-", a, b)), ","))
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """df with later copies of line runs deleted, without the documents of which nothing but blanks is left by that."""
+    done = line_dedup(df, key, text, min_words)
+    bare = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "")) == 0
+    return done.filter(~((F.size("ld_cut") > 0) & bare)).select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("ld_")])

@@ -5,7 +5,7 @@ repetition rate; the draw inverts the distribution at a hash of seed and documen
 Copies then go out in the order of a second hash, dealt globally.
 
 Null source: a source of its own. Null ids: one id. Rows with equal ids draw the same count, so repeated rows stay
-together. A source without a weight has weight 0 and yields nothing; an empty table yields nothing. Ties of the
+together. A weight of 0 yields nothing of its source; an empty table yields nothing. Ties of the
 shuffle key (one in 2^60) go by id and copy. Extra columns are carried; `copy` and `mix_key` are replaced.
 """
 
@@ -23,8 +23,9 @@ TAIL = 1e-12
 #: Most sources whose tables (some 300 bytes each, 15 KB at the largest rates) are broadcast.
 BROADCAST_SOURCES = 2000
 
-#: Target shares of the mixture; sources without an entry get none. src0 holds a third of the rows, src19 is left out.
-MIX_WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 19)}
+#: Target weights of the mixture, before scaling: the hot source counts twice, every other one, named here or not, once.
+MIX_WEIGHTS = {"src0": 2.0}
+OTHERS = 1.0
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -41,28 +42,26 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), start, step)["c"]
 
 
-def source_rates(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", epochs: float = 1.0) -> DataFrame:
+def source_rates(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", epochs: float = 1.0, others: float = OTHERS) -> DataFrame:
     """A row per source: its documents and the mean repetition rate that gives it its share of epochs * rows.
 
-    weights: target share by source; without, equal shares. They are scaled to sum to 1 over the sources present.
+    weights: target weight by source; others: that of a source without one. They are scaled to sum to 1 over the sources
+    present.
     """
     counts = df.groupBy(F.col(source).alias("mix_source")).agg(F.count(F.lit(1)).alias("mix_rows"))
-    if weights is None:
-        weighed = counts.withColumn("w", F.lit(1.0))
-    else:
-        given = df.sparkSession.createDataFrame([(k, float(v)) for k, v in sorted(weights.items())] or [("", 0.0)], "mix_source string, w double")
-        weighed = counts.join(given, "mix_source", "left").fillna(0.0, ["w"])
+    given = df.sparkSession.createDataFrame([(k, float(v)) for k, v in sorted((weights or {}).items())], "mix_source string, w double")
+    weighed = counts.join(given, "mix_source", "left").fillna(float(others), ["w"])
     total = weighed.agg(F.sum("w").alias("tw"), F.sum("mix_rows").alias("tn"))
     rate = F.when(F.col("tw") > 0, F.col("w") / F.col("tw") * F.col("tn") * F.lit(float(epochs)) / F.col("mix_rows")).otherwise(0.0)
     return weighed.join(F.broadcast(total)).select("mix_source", "mix_rows", rate.alias("mix_rate"))  # total is one row
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", seed: str = "0", epochs: float = 1.0) -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", seed: str = "0", epochs: float = 1.0, others: float = OTHERS) -> DataFrame:
     """df with each row repeated by its draw, plus `copy` (from 0) and `mix_key`, sorted globally by mix_key.
 
     A rate above 500 is split into a whole number of repetitions and a rest that is drawn.
     """
-    rates = source_rates(df, weights, source, epochs)
+    rates = source_rates(df, weights, source, epochs, others)
     whole = F.when(F.col("mix_rate") > 500, F.floor(F.col("mix_rate")) - 100).otherwise(F.lit(0)).cast("int")
     rates = checkpoint(rates.select("mix_source", whole.alias("mix_whole"), poisson_cdf(F.col("mix_rate") - whole).alias("mix_cdf")))
     if rates.count() <= BROADCAST_SOURCES:  # else the join deals documents by source, and Spark splits the hot ones

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .licenses import SHINGLE, TEMPLATES, need, plain
 from .linededup import MIN_WORDS
-from .mixing import MIX_WEIGHTS
+from .mixing import MIX_WEIGHTS, OTHERS
 from .quality import RULES, STOP_WORDS
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -58,11 +59,31 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.te
 FROM documents d LEFT JOIN rn ON rn.doc_id = d.doc_id LEFT JOIN kp ON kp.doc_id = d.doc_id"""
 
 
-def mixing_sql(weights: dict[str, float], docs: str = "documents") -> str:
+def _op7() -> str:
+    """All windows of all documents against all templates, by an inverted list of exact shingles."""
+    rows = []
+    for name, text in TEMPLATES.items():
+        words = [w for w in map(plain, text.encode().split()) if w]
+        width = min(SHINGLE, len(words))
+        shingles = {b" ".join(words[i : i + width]).decode() for i in range(len(words) - width + 1)}
+        stride = 1 << (len(shingles) - 1).bit_length()
+        rows += [f"('{name}', {width}, {stride}, {len(shingles)}, {need(len(shingles))}, '{s}')" for s in sorted(shingles)]
+    return rf"""
+WITH t(license, width, stride, total, need, shingle) AS (VALUES {", ".join(rows)}),
+w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: lower(regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'))), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, width, pos, array_to_string(words[pos + 1:pos + width], ' ') AS shingle FROM (SELECT doc_id, words, width, unnest(range(0, len(words) - width + 1)) AS pos FROM w, (SELECT DISTINCT width FROM t))),
+h AS (SELECT doc_id, license, t.width, stride, total, need, pos, s.shingle FROM s JOIN t ON t.shingle = s.shingle AND t.width = s.width),
+i AS (SELECT *, pos // stride AS win FROM h UNION ALL SELECT *, pos // stride - 1 FROM h WHERE pos >= stride),
+c AS (SELECT doc_id, license, win, total, width, count(DISTINCT shingle) AS matched, min(pos) AS a, max(pos) AS b FROM i GROUP BY doc_id, license, win, total, width, need HAVING count(DISTINCT shingle) >= need),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY matched DESC, win) AS r, count(*) OVER (PARTITION BY doc_id, license) AS windows FROM c)
+SELECT doc_id, license, matched, CAST(total AS BIGINT) AS total, CAST(a AS BIGINT) AS first_word, CAST(b + width - 1 AS BIGINT) AS last_word, windows FROM r WHERE r = 1"""
+
+
+def mixing_sql(weights: dict[str, float], others: float, docs: str = "documents") -> str:
     """copies(doc_id, copy, mix_key, ...) of the rows of `docs`; one WITH body."""
     given = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in sorted(weights.items()))
     return f"""
-mix_weighed AS (SELECT source, count(*) AS n, coalesce(any_value(g.w), 0) AS w FROM {docs} LEFT JOIN (VALUES {given}) g(s, w) ON g.s = source GROUP BY source),
+mix_weighed AS (SELECT source, count(*) AS n, coalesce(any_value(g.w), {others}) AS w FROM {docs} LEFT JOIN (VALUES {given}) g(s, w) ON g.s = source GROUP BY source),
 mix_rates AS (SELECT source, w / (SELECT sum(w) FROM mix_weighed) * (SELECT sum(n) FROM mix_weighed) * 1.0 / n AS rate FROM mix_weighed),
 mix_split AS (SELECT source, CAST(CASE WHEN rate > 500 THEN floor(rate) - 100 ELSE 0 END AS INT) AS whole, rate FROM mix_rates),
 mix_cdf AS (SELECT source, whole, list_sum([exp(-(rate - whole)) * list_product(list_prepend(1.0, list_transform(range(1, k + 1), lambda j: (rate - whole) / j)))]) AS p, k
@@ -82,6 +103,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20""",
     "op6_line_dedup": _op6(),
-    "op10_mixing": f"WITH {mixing_sql(MIX_WEIGHTS).strip()} SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, mix_key FROM copies",
+    "op7_licenses": _op7(),
+    "op10_mixing": f"WITH {mixing_sql(MIX_WEIGHTS, OTHERS).strip()} SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, mix_key FROM copies",
     "op5_quality_rules": _op5(),
 }

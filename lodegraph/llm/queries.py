@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, pii, quality, simhash, substring, tokenfile, topk
+from . import licenses, linededup, mixing, packing, pii, quality, simhash, substring, tokenfile, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("ld_lines").cast("long").alias("n_lines"), F.size("ld_cut").cast("long").alias("n_removed"), linededup.runs(F.col("ld_cut")).alias("removed_runs"), kept.alias("kept_sha256"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def packed(found: DataFrame) -> DataFrame:
     """Places of pieces, with the checksum of their ids instead of the ids."""
     slim = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op1_topk": op1_topk,
         "op2_pii": op2_pii,
         "op6_line_dedup": op6_line_dedup,
+        "op7_licenses": op7_licenses,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_mixing": op10_mixing,
