@@ -94,13 +94,22 @@ def verify_inclusion(leaf: Column, index: Column, size: Column, path: Column, ro
 
 
 def neighbours(members: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked(member) plus present, before, after: the members next to an absent one; trees sorted by member."""
+    """asked(member) plus present, before, after: the members on either side.
+
+    Members and questions are range-sorted together; what a partition lacks at its edges comes from the nearest
+    partition that has a member, so no task sees them all.
+    """
     both = members.select("member", F.lit(True).alias("real")).distinct().union(asked.select("member", F.lit(False).alias("real")).distinct())
     line = both.groupBy("member").agg(F.max("real").alias("present"), F.max(~F.col("real")).alias("asked"))
-    low = Window.orderBy("member").rowsBetween(Window.unboundedPreceding, -1)
-    high = Window.orderBy("member").rowsBetween(1, Window.unboundedFollowing)
+    line = held(line.repartitionByRange("member").sortWithinPartitions("member").withColumn("part", F.spark_partition_id()))
     real = F.when(F.col("present"), F.col("member"))
-    return line.select("member", "present", "asked", F.last(real, True).over(low).alias("before"), F.first(real, True).over(high).alias("after")).filter("asked").drop("asked")
+    edges = line.groupBy("part").agg(F.min(real).alias("lo"), F.max(real).alias("hi"))  # a row per partition
+    across = Window.orderBy("part")
+    edges = edges.select("part", F.last("hi", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("hi_before"), F.first("lo", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("lo_after"))
+    within = Window.partitionBy("part").orderBy("member")
+    low, high = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(1, Window.unboundedFollowing)
+    near = line.select("part", "member", "present", "asked", F.last(real, True).over(low).alias("b"), F.first(real, True).over(high).alias("a")).filter("asked")
+    return near.join(edges, "part").select("member", "present", F.coalesce("b", "hi_before").alias("before"), F.coalesce("a", "lo_after").alias("after"))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

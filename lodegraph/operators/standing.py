@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .evidence import accepts_verdict
+from .ranking import numbered
 
 
 class Policy(NamedTuple):
@@ -68,10 +69,5 @@ def standings(evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """Standings by affirming weight, then id, with their rank."""
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("affirm"), "target")).cast("int"))
-
-
-def listing(found: DataFrame) -> DataFrame:
-    """Standings sorted globally by affirming weight, then id, without a rank: sorts by range over all tasks."""
-    return found.orderBy(F.desc("affirm"), "target")
+    """Standings with their rank by affirming weight, then id."""
+    return numbered(found, F.desc("affirm"), F.asc("target"))
