@@ -7,7 +7,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import trust
+from . import graphs, trust
 
 
 class Subject:
@@ -23,4 +23,4 @@ class Subject:
         return dict(self.module.SQL)
 
 
-MODULES = [Subject(m) for m in (trust,)]
+MODULES = [Subject(m) for m in (trust, graphs)]
