@@ -1,8 +1,11 @@
 """Token ids of whole texts by a `tokenizers` file, as Arrow batches.
 
 White space never joins two tokens under a tokenizer whose pre-tokenizer splits at it, so a text's ids are those of
-its words in a row, and only the distinct words of a run of texts are encoded. `check_splits` refuses tokenizer files
-for which that isn't known to hold; such a file is encoded text by text.
+its words in a row, and only the distinct words of a run of texts are encoded. Closing points and commas are split off
+a word that ends in a letter or digit before them, as the tokenizer does; what is left and holds letters alone is one
+pre-token, so it needs neither normalizer nor splitting, and its last id is the one that ends a word. Other words take
+the whole tokenizer, a mark between them. `check_splits` tells whether a tokenizer file works so; any other is encoded
+text by text.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ import pyarrow.compute as pc
 
 from .common import Words
 
-#: Distinct words whose ids a worker keeps between batches; beyond, it starts anew.
+#: Words met twice in a run of texts are kept for the next ones, up to so many; beyond, a worker starts anew.
 KEEP = 300_000
 #: Words per string that is encoded.
-JOINED = 4096
+JOINED = 256
 #: A word that is a token of its own and marks word borders.
 MARK = "|"
+#: Closing characters that are split off.
+CLOSING = b".,;:!?"
 
 _loaded: dict[str, Encoder] = {}
 
@@ -49,6 +54,35 @@ def check_splits(spec: dict) -> bool:
     return kinds == ["NFC", "Replace", "Lowercase"] and bool(split and rest) and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
 
 
+def _latin(word: str) -> bool:
+    """Whether a word is made of Latin letters that lower-casing keeps letters and that NFC leaves alone."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+
+class Table:
+    """Ids by word: words in a dictionary, their ids one after another."""
+
+    def __init__(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.begin = np.zeros(1, np.int64)
+
+    def add(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64)])
+
+    def gathered(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the entries `of` in a row, where each begins and the last ends)."""
+        return _gathered(self.flat, self.begin, of)
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = begin[of + 1] - begin[of]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(ends[-1]) + np.repeat(begin[of] - ends[:-1], size)], ends
+
+
 class Encoder:
     """Encodes runs of texts; `vocab_size` is the number of ids."""
 
@@ -58,36 +92,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(description)
         self.vocab_size = self.tokenizer.get_vocab_size()
+        spec = json.loads(description)
         marked = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = marked[0] if len(marked) == 1 else None
-        self.by_word = check_splits(json.loads(description)) and self.mark is not None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.begin = np.zeros(1, np.int64)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_word = check_splits(spec) and len(marked) == 1 and bool(suffix)
+        if self.by_word:
+            self.mark = marked[0]
+            byte_level = spec["pre_tokenizer"]["pretokenizers"][1]
+            bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.closes = np.zeros(self.vocab_size, bool)
+            self.closes[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            self.known = Table()
 
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"|" not in w]
-        odd = [w for w in words if b"|" in w]
-        parts = [self.flat]
-        sizes = []
-        for at in range(0, len(plain), JOINED):
-            some = plain[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(w.decode("utf-8", "replace") for w in some)], add_special_tokens=False)[0].ids, np.uint32)
+    def _encoded(self, words: list[bytes]) -> Table:
+        """A table of words, none of them met before."""
+        letters, mixed, odd = [], [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            (letters if _latin(text) else odd if MARK in text else mixed).append((w, text))
+        found = Table()
+        joined = [" ".join([t.lower() for _, t in letters[i : i + JOINED]]) for i in range(0, len(letters), JOINED)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)]])
+        found.add([w for w, _ in letters], ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1))
+        for i in range(0, len(mixed), JOINED):
+            some = mixed[i : i + JOINED]
+            ids = self._direct([f" {MARK} ".join([t for _, t in some])])[0]
             cuts = np.flatnonzero(ids == self.mark)
-            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-            parts.append(np.delete(ids, cuts))
-        for ids in self._direct([w.decode("utf-8", "replace") for w in odd]):
-            sizes.append(np.array([len(ids)]))
-            parts.append(ids)
-        self.known.update(zip(plain + odd, range(len(self.known), len(self.known) + len(words))))
-        self.flat = np.concatenate(parts)
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.begin
+            found.add([w for w, _ in some], np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+        own = self._direct([t for _, t in odd])
+        found.add([w for w, _ in odd], np.concatenate([np.zeros(0, np.uint32), *own]), np.array([len(x) for x in own], np.int64))
+        return found
+
+    def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word without its closing characters, and those, where a border lies between; special tokens stay whole."""
+        if b"|" in word:
+            return word, b""
+        core = word.rstrip(CLOSING)
+        if len(core) < len(word) and not (core and (core[-1:].isalnum() or (core[-1] >= 0x80 and _latin(core.decode("utf-8", "replace")[-1])))):
+            core = word
+        return core.lower(), word[len(core) :]  # bytes: A-Z only, as the tokenizer lower-cases all
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, where each text's ids begin and the last end)."""
@@ -95,17 +142,29 @@ class Encoder:
             own = self._direct(pc.fill_null(texts, "").to_pylist())
             return np.concatenate([np.zeros(0, np.uint32), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         words = Words(texts)
-        if len(self.known) > KEEP:
-            self._forget()
-        new = [w for w in words.vocab if w not in self.known]
-        if new:
-            self._learn(new)
-        of = np.fromiter(map(self.known.__getitem__, words.vocab), np.int64, len(words.vocab))[words.codes]
-        size = self.begin[of + 1] - self.begin[of]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[of] - ends[:-1], size)]
+        if len(self.known.at) > KEEP:
+            self.known = Table()
+        parts = [part for w in words.vocab for part in self._split(w)]
+        new = self._encoded([w for w in dict.fromkeys(parts) if w and w not in self.known.at])
+        known, base = self.known.at, len(self.known.at)
+        of = np.fromiter((-1 if not w else known[w] if w in known else base + new.at[w] for w in parts), np.int64, len(parts))
+        flat = np.concatenate([self.known.flat, new.flat])
+        begin = np.concatenate([self.known.begin, self.known.begin[-1] + new.begin[1:], [self.known.begin[-1] + new.begin[-1]]])  # entry -1 is empty
+        of = np.where(of < 0, len(begin) - 2, of)
+        by_part, part_ends = _gathered(flat, begin, of)
+        ids, ends = _gathered(by_part, part_ends[::2], words.codes)
+        self._keep(new, of[of < len(begin) - 2] - base, np.repeat(np.bincount(words.codes, minlength=len(words.vocab)), 2)[of < len(begin) - 2])
         return ids, ends[words.offsets]
 
+    def _keep(self, new: Table, of: np.ndarray, counts: np.ndarray) -> None:
+        """Keeps the new words that the run of texts holds at least twice."""
+        own = of >= 0
+        often = np.bincount(of[own], counts[own], len(new.at)) >= 2
+        chosen = np.flatnonzero(often)
+        names = list(new.at)
+        flat, ends = new.gathered(chosen)
+        self.known.add([names[i] for i in chosen.tolist()], flat, np.diff(ends))
+
 
 def encoder(description: str) -> Encoder:
     """The encoder of this worker process for a description."""
