@@ -142,5 +142,8 @@ def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
 
 
 def kept_documents(df: DataFrame, **options) -> DataFrame:
-    """The rows that pass, with the columns of df."""
-    return quality_rules(df, **options).filter("q_kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows that pass, with the columns of df, whatever their names."""
+    prefix = "q_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return quality_rules(df, prefix=prefix, **options).filter(f"`{prefix}kept`").select(*[F.col(f"`{c}`") for c in df.columns])
