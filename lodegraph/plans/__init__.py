@@ -7,7 +7,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, scalars, sets, trust
+from . import graphs, scalars, sets, streams, trust
 
 
 class Subject:
@@ -23,4 +23,4 @@ class Subject:
         return dict(self.module.SQL)
 
 
-MODULES = [Subject(m) for m in (trust, graphs, sets, scalars)]
+MODULES = [Subject(m) for m in (trust, graphs, sets, scalars, streams)]
