@@ -39,7 +39,7 @@ class Rule(NamedTuple):
 RULES = (
     Rule("mean_word_length", "mean_word_chars", 2.0, 15.0),
     Rule("symbols_per_word", "symbol_ratio", most=0.3),
-    Rule("stop_word_share", "stop_ratio", least=0.02, min_words=50),
+    Rule("stop_word_share", "stop_ratio", least=0.01, min_words=50),
     Rule("duplicate_line_share", "dup_line_ratio", most=0.5),
     Rule("upper_case_share", "upper_ratio", most=0.5),
     Rule("bullet_line_share", "bullet_line_ratio", most=0.9),
