@@ -36,7 +36,13 @@ def digits(cell: Column) -> Column:
 
 def is_valid(cell: Column) -> Column:
     """Whether the bits name a cell: mode, reserved bits, base cell, digits used up to the resolution, no deleted direction."""
-    used = F.forall(F.arrays_zip(digits(cell).alias("d"), F.sequence(F.lit(1), F.lit(FINEST)).alias("r")), lambda x: (x["r"] <= resolution(cell)) != (x["d"] == UNUSED))
+    return F.element_at(F.transform(F.array(cell), _is_valid), 1)  # the lambda holds the bits, however they were made
+
+
+def _is_valid(cell: Column) -> Column:
+    used = F.lit(True)
+    for r in range(1, FINEST + 1):
+        used = used & ((resolution(cell) >= r) != (digit(cell, r) == UNUSED))
     leading = F.get(F.filter(F.slice(digits(cell), F.lit(1), resolution(cell)), lambda d: d != 0), F.lit(0))
     deleted = base_cell(cell).isin(*PENTAGONS) & F.coalesce(leading == 1, F.lit(False))
     return (cell >= 0) & (_bits(cell, 59, 0xF) == CELL_MODE) & (_bits(cell, 56, 0x7) == 0) & (base_cell(cell) < BASE_CELLS) & used & ~deleted
@@ -46,16 +52,16 @@ def is_pentagon(cell: Column) -> Column:
     return base_cell(cell).isin(*PENTAGONS) & F.forall(F.slice(digits(cell), F.lit(1), resolution(cell)), lambda d: d == 0)
 
 
-def parent(cell: Column, level: int) -> Column:
-    """The ancestor at a resolution; null where that is finer than the cell."""
-    kept = cell.bitwiseAND(F.lit(~(0xF << 52)).cast("bigint")).bitwiseOR(F.lit(level << 52).cast("bigint"))
-    blank = sum(UNUSED << (FINEST - r) * 3 for r in range(level + 1, FINEST + 1))
-    return F.when(resolution(cell) >= level, kept.bitwiseOR(F.lit(blank).cast("bigint")))
+def parent_at(cell: Column, level: Column) -> Column:
+    """The ancestor at a resolution: digits beyond it blank; null where that is finer than the cell."""
+    level = level.cast("bigint")
+    kept = cell.bitwiseAND(F.lit(~(0xF << 52)).cast("bigint")).bitwiseOR(level * (1 << 52))
+    blank = F.call_function("shiftleft", F.lit(1).cast("bigint"), ((FINEST - level) * 3).cast("int")) - 1
+    return F.when(resolution(cell) >= level, kept.bitwiseOR(blank))
 
 
-def parent_at(cell: Column, level: Column) -> Column:
-    """`parent` at a resolution given by a column."""
-    return F.get(F.array(*[parent(cell, r) for r in range(FINEST + 1)]), level)
+def parent(cell: Column, level: int) -> Column:
+    return parent_at(cell, F.lit(level))
 
 
 def contains(outer: Column, inner: Column) -> Column:

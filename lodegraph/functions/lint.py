@@ -5,6 +5,8 @@ Patterns use no look-around, so the same ones run in other engines; letters and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,17 @@ BACKREFERENCES = ("the former", "the latter", "the above", "as mentioned")
 CEILING = 4096
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: a lambda variable holds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def joining(text: Column) -> Column:
     """The first coordinator that may join two clauses, null if none; `while ...ing` doesn't count."""
-    low = F.lower(text)
+    return _let(F.lower(text), _joining)
+
+
+def _joining(low: Column) -> Column:
     tests = F.lit(None).cast("string")
     for c in reversed(COORDINATORS):
         found = F.contains(low, F.lit(c))
@@ -36,19 +46,23 @@ def sentences(text: Column) -> Column:
 
 def quantities(text: Column) -> Column:
     """Digit runs, points and commas joined, in tokens where no letter touches a digit."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: ~t.rlike("[A-Za-z][0-9]|[0-9][A-Za-z]"))
-    count = lambda t: F.size(F.filter(F.split(F.regexp_replace(t, "[.,]", ""), "[^0-9]+"), lambda x: x != ""))
-    return F.aggregate(tokens, F.lit(0), lambda a, t: a + count(t))
+    touching, number = "[A-Za-z][0-9]|[0-9][A-Za-z]", F.lit("[0-9][0-9.,]*")
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: ~t.rlike(touching))
+    return F.when(text.rlike(touching), F.regexp_count(F.array_join(tokens, " "), number)).otherwise(F.regexp_count(text, number))
 
 
 def opening(text: Column) -> Column:
     """The opener that the text begins with, null if none."""
-    start = F.regexp_replace(F.lower(text), r"^\s+", "")
-    return F.coalesce(*[F.when(F.startswith(start, F.lit(o)), F.lit(o.strip())) for o in OPENERS])
+    longest = max(map(len, OPENERS))
+    start = F.lower(F.substring(F.regexp_replace(text, r"^\s+", ""), 1, longest))
+    return _let(start, lambda s: F.coalesce(*[F.when(F.startswith(s, F.lit(o)), F.lit(o.strip())) for o in OPENERS]))
 
 
 def backreference(text: Column) -> Column:
-    low = F.lower(text)
+    return _let(F.lower(text), _backreference)
+
+
+def _backreference(low: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(b)), F.lit(b)) for b in BACKREFERENCES])
 
 
@@ -63,20 +77,25 @@ def mentions(text: Column, word: Column) -> Column:
 
 def findings(text: Column, atomic: Column | None = None, undeclared: Column | None = None) -> Column:
     """Array of (test, detail). undeclared: array of contested words that the claim doesn't depend on."""
-    one = lambda test, detail, when: F.when(when, F.struct(F.lit(test).alias("test"), detail.alias("detail")))
     atomic = F.lit(True) if atomic is None else atomic
-    n, q = sentences(text), quantities(text)
-    found = [
-        one("size", F.concat(F.octet_length(text).cast("string"), F.lit(" bytes")), F.octet_length(text) > CEILING),
-        one("single-assertion", joining(text), atomic & joining(text).isNotNull()),
-        one("single-assertion", F.concat(n.cast("string"), F.lit(" sentences")), atomic & (n > 1)),
-        one("single-quantity", F.concat(q.cast("string"), F.lit(" quantities")), atomic & (q > 1)),
-        one("dangling-anaphora", opening(text), opening(text).isNotNull()),
-        one("dangling-anaphora", backreference(text), backreference(text).isNotNull()),
-    ]
-    listed = F.array_compact(F.array(*found))
+    one = lambda test, detail, when: F.when(when, F.struct(F.lit(test).alias("test"), detail.alias("detail")))
+    facts = _let(F.lower(text), lambda low: F.struct(_joining(low).alias("joins"), sentences(text).alias("n"), quantities(text).alias("q"), opening(text).alias("opens"), _backreference(low).alias("back"), F.octet_length(text).alias("size")))
+
+    def listed(x: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                one("size", F.concat(x["size"].cast("string"), F.lit(" bytes")), x["size"] > CEILING),
+                one("single-assertion", x["joins"], atomic & x["joins"].isNotNull()),
+                one("single-assertion", F.concat(x["n"].cast("string"), F.lit(" sentences")), atomic & (x["n"] > 1)),
+                one("single-quantity", F.concat(x["q"].cast("string"), F.lit(" quantities")), atomic & (x["q"] > 1)),
+                one("dangling-anaphora", x["opens"], x["opens"].isNotNull()),
+                one("dangling-anaphora", x["back"], x["back"].isNotNull()),
+            )
+        )
+
+    found = F.element_at(F.transform(F.array(facts), listed), 1)  # the lambda holds each fact, so it is made once
     if undeclared is not None:
         words = F.filter(undeclared, lambda w: mentions(text, w))
-        listed = F.concat(listed, F.transform(words, lambda w: F.struct(F.lit("undeclared-term").alias("test"), w.alias("detail"))))
+        found = F.concat(found, F.transform(words, lambda w: F.struct(F.lit("undeclared-term").alias("test"), w.alias("detail"))))
     empty = F.array(F.struct(F.lit("non-empty").alias("test"), F.lit("content is empty").alias("detail")))
-    return F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", empty).otherwise(listed)
+    return F.when(text.rlike(r"\S"), found).otherwise(empty)

@@ -77,7 +77,8 @@ def quantity_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("f", lint.findings(F.col("text")))
-    return d.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.test", "f.detail")
+    found = d.select("doc_id", F.explode_outer("f").alias("f")).filter("f IS NOT NULL")  # an inner explode would evaluate f for its filter too
+    return found.select("doc_id", "f.test", "f.detail")
 
 
 def term_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

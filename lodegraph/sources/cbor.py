@@ -12,7 +12,7 @@ MOST_BYTES = 64 * 1024
 MOST_DEPTH = 64
 #: Rules by the name that a refusal gives.
 SIZE, TRAILING, TRUNCATED, SHORTEST, DEFINITE, NO_FLOAT, KINDS, UTF8, NFC, TEXT_KEYS, SORTED, UNIQUE, DEPTH = (
-    "size limit", "single top-level item", "complete item", "shortest-form integers", "no indefinite length", "no floating point", "supported item types",
+    "size limit", "single top-level item", "complete items", "shortest-form integers", "no indefinite length", "no floating point", "supported item types",
     "valid UTF-8", "NFC normalization", "text map keys", "sorted map keys", "unique map keys", "nesting limit",
 )
 
@@ -40,6 +40,8 @@ class _Reader:
         start = self.at
         first = self.take(1)[0]
         major, low = first >> 5, first & 31
+        if major == 7 and low == 24:
+            raise Refused(SHORTEST if self.take(1)[0] < 24 else KINDS, start)
         if low < 24 or major == 7:
             return major, low, start
         if low > 27:
