@@ -46,7 +46,7 @@ ANNOTATION_CLASSES = {
     "timestamped": "attributive",
     "personhood": "formal",
 }
-PRINCIPALS = ("human", "organization", "agent")
+PRINCIPALS = ("human", "organization", "automated")
 REPRODUCIBILITY = ("open", "restricted", "unique-event", "destructive")
 OUTCOMES = ("accepted", "rejected", "contested", "undetermined", "unreplicated", "not-truth-apt")
 

@@ -9,7 +9,7 @@ from . import merkle
 from .fixpoint import closure, components
 
 #: Why a member may be removed.
-CAUSES = ("retracted", "superseded", "out-of-scope")
+CAUSES = ("split", "tombstone", "superseded-domain")
 
 
 def applied(start: DataFrame, added: DataFrame, removed: DataFrame, upto: int | None = None) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Findings of an assessment, and those that leave a claim open.
+ASSESSMENTS = ("sound", "sound-in-scope", "superseded", "unsupported", "refuted", "undetermined")
+LEAVES_OPEN = ("unsupported", "refuted", "undetermined")
+
 
 def listed(objects: DataFrame, kind: str | None = None, claim_class: str | None = None, author: str | None = None) -> DataFrame:
     """Objects that fulfil every condition given, by id."""
@@ -108,7 +112,7 @@ def shared_names(terms: DataFrame) -> DataFrame:
 
 def open_annotations(assessments: DataFrame, verdicts: DataFrame, disputes: DataFrame, resolved: DataFrame) -> DataFrame:
     """(target, open): negative live assessments and verdicts, and live disputes without a resolution(dispute)."""
-    bad = assessments.filter("verdict = 'unsound'").select("target").union(verdicts.filter("finding = 'deny'").select("target"))
+    bad = assessments.filter(F.col("verdict").isin(*LEAVES_OPEN)).select("target").union(verdicts.filter("finding = 'deny'").select("target"))
     waiting = disputes.join(resolved.select("dispute").distinct(), "dispute", "left_anti").select("target")
     return bad.union(waiting).groupBy("target").agg(F.count(F.lit(1)).alias("open"))
 

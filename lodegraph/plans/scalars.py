@@ -208,7 +208,7 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_human(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "customer").filter("c_custkey % 9 > 0").select(F.col("c_custkey").alias("cid"), F.when(F.col("c_mktsegment") == "MACHINERY", "agent").otherwise("human").alias("principal"))
+    keys = table(spark, sf_dir, "customer").filter("c_custkey % 9 > 0").select(F.col("c_custkey").alias("cid"), F.when(F.col("c_mktsegment") == "MACHINERY", "automated").otherwise("human").alias("principal"))
     objects = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cid"), F.col("o_custkey").alias("author"))
     return listing.by_human(objects, keys).select("cid", "human")
 
@@ -225,7 +225,7 @@ def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def open_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("dispute"), F.col("user_id").alias("target"), "event_type")
-    a = e.filter("event_type = 'view'").withColumn("verdict", F.when(F.col("dispute") % 3 == 0, "unsound").otherwise("sound"))
+    a = e.filter("event_type = 'view'").withColumn("verdict", F.element_at(F.array(*[F.lit(x) for x in listing.ASSESSMENTS]), (F.col("dispute") % 6 + 1).cast("int")))
     v = e.filter("event_type = 'click'").withColumn("finding", F.when(F.col("dispute") % 2 == 0, "deny").otherwise("affirm"))
     return listing.open_annotations(a, v, e.filter("event_type = 'error'"), e.filter("dispute % 4 = 0").select("dispute"))
 
@@ -327,5 +327,5 @@ SELECT CAST(p AS VARCHAR) AS singular, segment, count(*) AS facts, CAST(sum(v) A
     "by_human": "SELECT o_orderkey AS cid, coalesce(c_mktsegment <> 'MACHINERY', FALSE) AS human FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 9 > 0",
     "active_renderings": "SELECT doc, created, cid FROM (SELECT o_custkey AS doc, strftime(o_orderdate, '%Y-%m') AS created, o_orderkey AS cid, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m') DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
     "object_listing": "SELECT doc_id AS cid, lang AS kind, source AS author, 'doc' AS class FROM documents WHERE lang = 'en' AND source = 'src0'",
-    "open_annotations": "SELECT user_id AS target, count(*) AS open FROM events WHERE (event_type = 'view' AND event_id % 3 = 0) OR (event_type = 'click' AND event_id % 2 = 0) OR (event_type = 'error' AND event_id % 4 <> 0) GROUP BY 1",
+    "open_annotations": "SELECT user_id AS target, count(*) AS open FROM events WHERE (event_type = 'view' AND event_id % 6 >= 3) OR (event_type = 'click' AND event_id % 2 = 0) OR (event_type = 'error' AND event_id % 4 <> 0) GROUP BY 1",
 }
