@@ -146,3 +146,25 @@ def test_evaluation_vector(spark, change, want):
     vector = {"policy": policy, "edges": [{"from": "r", "to": "a", "weight": 1}, {"from": "spam1", "to": "spam2", "weight": 1}], "class": "empirical", "affirm": ["a"], "deny": [], "reproductions": {"independent_consistent": 2}} | change
     got = payloads.evaluated(spark, cbor.encode(vector))
     assert got["result"] == want and got["delta"] == "0.000000"
+
+
+def test_migration(spark):
+    from lodegraph.sources import migrate
+
+    a = made("claim.prose", "ann", content="one")
+    b = made("claim.relation", "ann", kind="supports", **{"from": ids.cid_of(a), "to": "elsewhere"})
+    c = made("doc", "ann", sections=[{"items": [{"ref": ids.cid_of(b)}, {"ref": ids.cid_of(a)}]}])
+    d = made("domain", "ann", snapshot=ids.cid_of(a))
+    loop = [("p" * 5, made("x", "ann", to="pub:sha2-256:q")), ("pub:sha2-256:q", made("x", "ann", to="pub:sha2-256:r")), ("pub:sha2-256:r", made("x", "ann", to="pub:sha2-256:q"))]
+    rows = [(ids.cid_of(x), bytearray(x)) for x in (a, b, c, d)] + [(k, bytearray(v)) for k, v in loop]
+
+    def scoped(value):
+        return value | {"body": value["body"] | {"scope": "all"}} if value["type"] == "claim.relation" else value
+
+    done, stuck = migrate.migrate(spark.createDataFrame(rows, "cid string, content binary"), scoped)
+    got = {r["old"]: (r["new"], cbor.decode(bytes(r["content"]))) for r in done.collect()}
+    assert got[ids.cid_of(a)][0] == ids.cid_of(a)
+    new_b, value = got[ids.cid_of(b)]
+    assert value["body"]["scope"] == "all" and new_b == ids.cid_of(cbor.encode(value)) != ids.cid_of(b)
+    assert got[ids.cid_of(c)][1]["body"]["sections"][0]["items"] == [{"ref": new_b}, {"ref": ids.cid_of(a)}]
+    assert ids.cid_of(d) not in got and {r["cid"] for r in stuck.collect()} == {"ppppp", "pub:sha2-256:q", "pub:sha2-256:r"}
