@@ -35,7 +35,10 @@ class Rule(NamedTuple):
     min_words: int = 0
 
 
-#: The production table. Measures are the columns that `measures` makes.
+#: What `measured` makes.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop", "n_upper", "n_bullet", "n_ellipsis")
+RATIOS = ("mean_word_chars", "symbol_ratio", "stop_ratio", "upper_ratio", "dup_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
+#: The production table. Measures are fields of what `measured` makes.
 RULES = (
     Rule("mean_word_length", "mean_word_chars", 2.0, 15.0),
     Rule("symbols_per_word", "symbol_ratio", most=0.3),
@@ -84,66 +87,68 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), counted)).cast("long")
 
 
-def measures(df: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
-    """df plus the raw counts and the ratios that rules refer to, as columns named prefix + measure."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    p = lambda name: F.col(prefix + name)
+def measured(text: Column) -> Column:
+    """Struct of the raw counts and the ratios of a text that rules refer to; words and lines are made once."""
+    t = F.coalesce(text, F.lit(""))
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    out = df.withColumn(prefix + "words", words_of(F.col(text)))
-    out = out.withColumn(prefix + "lines", F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0))
-    first = {
-        "n_words": F.size(p("words")).cast("long"),
-        "word_chars": F.length(F.array_join(p("words"), "")).cast("long"),
-        "n_symbols": (F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", ""))).cast("long"),
-        "n_lines": F.size(p("lines")).cast("long"),
-        "n_dup_lines": (F.size(p("lines")) - F.size(F.array_distinct(p("lines")))).cast("long"),
-        "n_repeat_words": repeat_words(p("words")),
-        "n_stop": F.size(F.filter(p("words"), lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(*stop))).cast("long"),
-        "n_upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long"),
-        "n_bullet": F.size(F.filter(p("lines"), lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).cast("long"),
-        "n_ellipsis": F.size(F.filter(p("lines"), lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09]*$"))).cast("long"),
-    }
-    out = out.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(prefix + k) for k, v in first.items()])
-    ratios = {
-        "mean_word_chars": share(p("word_chars"), p("n_words")),
-        "symbol_ratio": share(p("n_symbols"), p("n_words")),
-        "stop_ratio": share(p("n_stop"), p("n_words")),
-        "upper_ratio": share(p("n_upper"), p("word_chars")),
-        "dup_line_ratio": share(p("n_dup_lines"), p("n_lines")),
-        "bullet_line_ratio": share(p("n_bullet"), p("n_lines")),
-        "ellipsis_line_ratio": share(p("n_ellipsis"), p("n_lines")),
-    }
-    return out.withColumns({prefix + k: v for k, v in ratios.items()})
-
-
-def compiled(rules: tuple[Rule, ...], prefix: str = "q_") -> Column:
-    """Array of the names of the rules that a row fails."""
+    with_word = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
+
+    def counted(words: Column, lines: Column) -> Column:
+        raw = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeat_words(words),
+            "n_stop": F.size(F.filter(words, lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(*stop))),
+            "n_upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")),
+            "n_bullet": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))),
+            "n_ellipsis": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09]*$"))),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in raw.items()])
+
+    def rated(c: Column) -> Column:
+        ratios = {
+            "mean_word_chars": share(c["word_chars"], c["n_words"]),
+            "symbol_ratio": share(c["n_symbols"], c["n_words"]),
+            "stop_ratio": share(c["n_stop"], c["n_words"]),
+            "upper_ratio": share(c["n_upper"], c["word_chars"]),
+            "dup_line_ratio": share(c["n_dup_lines"], c["n_lines"]),
+            "bullet_line_ratio": share(c["n_bullet"], c["n_lines"]),
+            "ellipsis_line_ratio": share(c["n_ellipsis"], c["n_lines"]),
+        }
+        return F.struct(*[c[k].alias(k) for k in COUNTS], *[v.alias(k) for k, v in ratios.items()])
+
+    return let(let(words_of(text), lambda w: let(with_word, lambda x: counted(w, x))), rated)
+
+
+def compiled(rules: tuple[Rule, ...], m: Column) -> Column:
+    """Array of the names of the rules that a struct of measures fails."""
     tests = []
     for r in rules:
-        m = F.col(prefix + r.measure)
         bad = F.lit(False)
-        bad = bad | (m < r.least) if r.least is not None else bad
-        bad = bad | (m > r.most) if r.most is not None else bad
-        tests.append(F.when(bad & (F.col(prefix + "n_words") >= r.min_words), F.lit(r.name)))
+        bad = bad | (m[r.measure] < r.least) if r.least is not None else bad
+        bad = bad | (m[r.measure] > r.most) if r.most is not None else bad
+        tests.append(F.when(bad & (m["n_words"] >= r.min_words), F.lit(r.name)))
     return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
 
 
-def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = 20, repeat_percent: int = 30, prefix: str = "q_") -> DataFrame:
-    """df plus its measures, q_base_failed, q_failed (names of failed rules) and q_kept.
+def base_failed(m: Column, min_words: int = 20, repeat_percent: int = 30) -> Column:
+    """Fewer than min_words words, or more than repeat_percent % of them in repeated windows."""
+    return (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > repeat_percent * m["n_words"])
 
-    base_failed: fewer than min_words words, or more than repeat_percent % of them in repeated windows.
-    The columns with the prefix are replaced if df has some already.
-    """
-    n, rep = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
-    out = measures(df.drop(*[c for c in df.columns if c.startswith(prefix)]), text, prefix)
-    out = out.withColumn(prefix + "base_failed", (n < min_words) | (100 * rep > repeat_percent * n)).withColumn(prefix + "failed", compiled(rules, prefix))
-    return out.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.size(prefix + "failed") == 0))
-
-
-def kept_documents(df: DataFrame, **options) -> DataFrame:
-    """The rows that pass, with the columns of df, whatever their names."""
-    prefix = "q_"
-    while any(c.startswith(prefix) for c in df.columns):
-        prefix = f"_{prefix}"
-    return quality_rules(df, prefix=prefix, **options).filter(f"`{prefix}kept`").select(*[F.col(f"`{c}`") for c in df.columns])
+
+def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+    """df plus its measures, q_base_failed, q_failed (names of failed rules) and q_kept; columns q_... of df are replaced."""
+    out = df.drop(*[c for c in df.columns if c.startswith("q_")]).withColumn("q_", measured(F.col(text)))
+    m = F.col("q_")
+    out = out.withColumn("q_base_failed", base_failed(m, min_words, repeat_percent)).withColumn("q_failed", compiled(rules, m))
+    fields = [m[k].alias(f"q_{k}") for k in (*COUNTS, *RATIOS)]
+    return out.select(*[c for c in out.columns if c != "q_"], *fields, (~F.col("q_base_failed") & (F.size("q_failed") == 0)).alias("q_kept"))
+
+
+def kept_documents(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+    """The rows that pass, with the columns of df; one filter, whose measures a lambda holds so that none is made twice."""
+    return df.filter(let(measured(F.col(text)), lambda m: ~base_failed(m, min_words, repeat_percent) & (F.size(compiled(rules, m)) == 0)))
