@@ -6,6 +6,7 @@ from .licenses import SHINGLE, TEMPLATES, need, plain
 from .linededup import MIN_WORDS
 from .mixing import MIX_WEIGHTS, OTHERS
 from .quality import RULES, STOP_WORDS
+from .substring import WINDOW
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -59,6 +60,18 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.te
 FROM documents d LEFT JOIN rn ON rn.doc_id = d.doc_id LEFT JOIN kp ON kp.doc_id = d.doc_id"""
 
 
+def _op3(window: int = WINDOW) -> str:
+    """Every window of every document as text; all but the first of equal ones delete their words."""
+    return rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + {window - 1}], ' ') AS body FROM (SELECT doc_id, words, unnest(range(1, len(words) - {window - 2})) AS i FROM w)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS r FROM g) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM later, range(0, {window}) AS t(o)),
+pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+kept AS (SELECT pos.doc_id, count(gone.p) AS n, string_agg(word, ' ' ORDER BY pos.p) FILTER (gone.p IS NULL) AS body FROM pos LEFT JOIN gone ON gone.doc_id = pos.doc_id AND gone.p = pos.p GROUP BY pos.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
 def _op7() -> str:
     """All windows of all documents against all templates, by an inverted list of exact shingles."""
     rows = []
@@ -102,6 +115,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20""",
+    "op3_substring_dedup": _op3(),
     "op6_line_dedup": _op6(),
     "op7_licenses": _op7(),
     "op10_mixing": f"WITH {mixing_sql(MIX_WEIGHTS, OTHERS).strip()} SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, mix_key FROM copies",
