@@ -76,8 +76,8 @@ def removable(asked: DataFrame, declared: DataFrame, tombstones: DataFrame) -> D
 def growth(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row (lost, added): a corpus may grow but lose nothing."""
     a, b = before.select("cid").distinct(), after.select("cid").distinct()
-    lost = a.join(b, "cid", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
-    return lost.crossJoin(b.join(a, "cid", "left_anti").agg(F.count(F.lit(1)).alias("added")))  # one row each
+    added = b.join(a, "cid", "left_anti").agg(F.count(F.lit(1))).scalar()
+    return a.join(b, "cid", "left_anti").agg(F.count(F.lit(1)).alias("lost")).withColumn("added", added)
 
 
 def missing_depends(members: DataFrame, depends: DataFrame) -> DataFrame:

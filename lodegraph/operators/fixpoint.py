@@ -110,8 +110,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def acyclic(edges: DataFrame) -> DataFrame:
     """One row: (edges, on_or_above_cycle, acyclic)."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    stuck = levels(nodes, edges).filter("level IS NULL").agg(F.count(F.lit(1)).alias("on_or_above_cycle"))
-    return edges.agg(F.count(F.lit(1)).alias("edges")).crossJoin(stuck).withColumn("acyclic", F.col("on_or_above_cycle") == 0)  # one row each
+    stuck = levels(nodes, edges).filter("level IS NULL").agg(F.count(F.lit(1))).scalar()
+    return edges.agg(F.count(F.lit(1)).alias("edges")).withColumn("on_or_above_cycle", stuck).withColumn("acyclic", F.col("on_or_above_cycle") == 0)
 
 
 def closes_cycle(pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ def shares(edges: DataFrame) -> DataFrame:
 
 def seeds(roots: DataFrame) -> DataFrame:
     """(key, seed) from roots(key, weight): each row's share of all weights, summed by key."""
-    total = F.broadcast(roots.agg(F.sum("weight").cast("bigint").alias("total")))  # one row
-    each = roots.crossJoin(total).select("key", fixed.ratio(F.col("weight"), F.col("total")).alias("seed"))
+    total = roots.agg(F.sum("weight").cast("bigint")).scalar()
+    each = roots.select("key", fixed.ratio(F.col("weight"), total).alias("seed"))
     return each.groupBy("key").agg(F.sum("seed").cast("bigint").alias("seed"))
 
 

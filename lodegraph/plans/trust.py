@@ -47,8 +47,8 @@ def trust_pagerank_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trust_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _dealings(spark, sf_dir)
-    last = table(spark, sf_dir, "orders").agg(F.max(F.to_date("o_orderdate")).alias("last"))
-    aged = d.crossJoin(F.broadcast(last)).withColumn("age_days", F.datediff("last", F.to_date("o_orderdate")).cast("bigint"))  # one row
+    last = table(spark, sf_dir, "orders").agg(F.max(F.to_date("o_orderdate"))).scalar()
+    aged = d.withColumn("age_days", F.datediff(last, F.to_date("o_orderdate")).cast("bigint"))
     edges = aged.groupBy("cn", "sn", "age_days").agg((F.count(F.lit(1)) * 1000).alias("weight"))
     return trust.propagate(_named(spark, sf_dir, edges), _roots(spark, sf_dir), DAMPING, ROUNDS, half_life=365)
 

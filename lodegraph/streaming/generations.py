@@ -39,8 +39,7 @@ def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> D
     query.awaitTermination()
     rows = spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(f"{at}/rows")
     if mode == "complete":
-        last = rows.agg(F.max("batch").alias("last"))
-        rows = rows.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("last")  # one row
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar())
     return rows.drop("batch")
 
 
