@@ -1,14 +1,14 @@
 """Line dedup: repeated runs of lines, found by prefix doubling over line ids; later copies are deleted.
 
 A document is a sequence of line ids (hashes of its lines that have a word). Doubling names every block of 1, 2, 4, ...
-lines by the names of its two halves, so the name of a block of any length follows from two overlapping blocks: what a
-suffix array sorted to that depth gives, without keeping the order, since only the intervals of equal names (the
-longest-common-prefix intervals of that depth) are used. Names are content hashes (96 bits), the same on every
-executor, so a round of doubling needs no shuffle; the one shuffle gathers the intervals.
+lines by the names of its two halves, so the name of a block of any length follows from two overlapping blocks. Names
+are content hashes (96 bits), the same on every executor, so a round of doubling needs no shuffle. The suffix array is
+then one range sort of all suffixes by the name of their first lines, equal ones by place; neighbours of one name are a
+longest-common-prefix interval. The order among different lines is that of their hashes, which is as good as any.
 
 A run counts as repeated from `min_words` words on. Every maximal repeated run is the union of the shortest blocks of
-that many words that start or end at each of its lines, so intervals of those blocks reveal all of it: doubling stops
-at min_words lines. Of an interval, the copy at the smallest (id, line) stays and the later ones are deleted.
+that many words that start or end at each of its lines, so the array is sorted to the depth of those blocks, one suffix
+for each, and doubling stops at min_words lines. Of an interval, the copy at the smallest (id, line) stays and the later ones are deleted.
 
 Null text is one document without lines. Blank lines take no part; those inside a deleted run go with it. Rows with
 equal id and text are one document: they don't delete each other and lose the same lines. Null ids sort first. Extra
@@ -17,10 +17,10 @@ columns pass through; names starting with ld_ are replaced. An empty table gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let
+from .common import SPACE, checkpoint, let
 
 #: Words from which on a repeated run counts.
 MIN_WORDS = 10
@@ -78,22 +78,41 @@ def _blocks(lines: Column, min_words: int) -> Column:
     return let(lines, lambda ls: F.when(F.size(ls) > 0, keyed(ls)))
 
 
-def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document with deletions: ld_key, ld_text (hash of its text) and ld_cut, the sorted array of line numbers to delete."""
+def suffix_array(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The suffixes of all line sequences in order of their names to the depth that counts, equal ones by place.
+
+    Columns ld_key, ld_text (hash of the text), start, stop (lines of the block that gives the depth), k1 and k2 (its
+    name) and part (the task that holds the suffix). A range sort: an interval of equal names may span many parts.
+    """
     numbered = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("text"), F.size(F.array_remove(F.split(x, SPACE), "")).alias("words")))
     blocks = _blocks(F.filter(numbered, lambda x: x["words"] > 0), min_words)
     rows = df.select(F.col(key).alias("ld_key"), F.xxhash64(text).alias("ld_text"), F.explode(blocks).alias("b")).select("ld_key", "ld_text", "b.*")
-    place = F.struct("ld_key", "ld_text", "start")
-    intervals = rows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
-    later = rows.join(intervals, ["k1", "k2"]).filter(place != F.col("first"))
+    order = ("k1", "k2", "ld_key", "ld_text", "start", "stop")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+
+
+def later_copies(suffixes: DataFrame) -> DataFrame:
+    """Per document with deletions: ld_key, ld_text and ld_cut, the sorted array of line numbers to delete.
+
+    Neighbours of one name in the suffix array share a prefix of that depth; such an interval's first place stays.
+    Within a part a window finds it; intervals that span parts, one at each border at most, are settled in a table of
+    no more rows than parts.
+    """
+    place, name = F.struct("ld_key", "ld_text", "start"), ["k1", "k2"]
+    ends = suffixes.groupBy("part").agg(F.min(F.struct(*name)).alias("lo"), F.max(F.struct(*name)).alias("hi"))
+    border = ends.select("part", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e")).groupBy("e.k1", "e.k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*name)
+    spanning = suffixes.join(F.broadcast(border), name).groupBy(*name).agg(F.min(place).alias("across"))
+    within = F.min(place).over(Window.partitionBy("part", *name))
+    found = suffixes.withColumn("first", within).join(F.broadcast(spanning), name, "left").filter(place > F.coalesce(F.least("across", "first"), F.col("first")))
     cut = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))))
-    return later.groupBy("ld_key", "ld_text").agg(cut.alias("ld_cut"))
+    return found.groupBy("ld_key", "ld_text").agg(cut.alias("ld_cut"))
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with later copies of repeated line runs deleted from its text, plus ld_lines (lines before) and ld_cut."""
     base = df.drop(*[c for c in df.columns if c.startswith("ld_")])
-    cut = later_copies(base, key, text, min_words)
+    cut = later_copies(suffix_array(base, key, text, min_words))
     joined = base.join(cut, base[key].eqNullSafe(cut["ld_key"]) & (F.xxhash64(base[text]) == cut["ld_text"]), "left")
     lines = F.split(F.col(text), "\n")
     left = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("ld_cut")), lambda i: F.get(ls, i)))
