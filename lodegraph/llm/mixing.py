@@ -51,9 +51,9 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None = None, source:
     counts = df.groupBy(F.col(source).alias("mix_source")).agg(F.count(F.lit(1)).alias("mix_rows"))
     given = df.sparkSession.createDataFrame([(k, float(v)) for k, v in sorted((weights or {}).items())], "mix_source string, w double")
     weighed = counts.join(given, "mix_source", "left").fillna(float(others), ["w"])
-    total = weighed.agg(F.sum("w").alias("tw"), F.sum("mix_rows").alias("tn"))
-    rate = F.when(F.col("tw") > 0, F.col("w") / F.col("tw") * F.col("tn") * F.lit(float(epochs)) / F.col("mix_rows")).otherwise(0.0)
-    return weighed.join(F.broadcast(total)).select("mix_source", "mix_rows", rate.alias("mix_rate"))  # total is one row
+    sums = weighed.agg(F.struct(F.sum("w").alias("w"), F.sum("mix_rows").alias("rows"))).scalar()
+    rate = F.when(sums["w"] > 0, F.col("w") / sums["w"] * sums["rows"] * F.lit(float(epochs)) / F.col("mix_rows")).otherwise(0.0)
+    return weighed.select("mix_source", "mix_rows", rate.alias("mix_rate"))
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", seed: str = "0", epochs: float = 1.0, others: float = OTHERS) -> DataFrame:
