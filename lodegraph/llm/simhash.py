@@ -80,7 +80,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     if not 0 <= distance <= 4:
         raise ValueError("distance must be from 0 to 4")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = fps.select("fp").distinct().repartition(parts, "fp")  # few bytes, but 70 keys each: not to be coalesced
+    spread = fps.select("fp").distinct().repartition(parts, F.xxhash64("fp"))  # few bytes, but 70 keys each: not to be coalesced
     keyed = spread.select("fp", F.explode(_keys(F.col("fp"))).alias("k"))
     shared = keyed.groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("k")
     index = checkpoint(keyed.join(shared, "k", "left_semi"))  # small: keys with two fingerprints or more
