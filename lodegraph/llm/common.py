@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ class Words:
     """The words of a run of texts as codes into their distinct words.
 
     codes: int64 code of each word in order; offsets: where each text's words begin (one more entry than texts);
-    vocab: the distinct words as bytes. Built by Arrow kernels, so no Python object per word.
+    distinct: the distinct words as Arrow text; vocab: as bytes. Built by Arrow kernels, so no Python object per word.
     """
 
     def __init__(self, texts: pa.Array):
@@ -83,7 +84,11 @@ class Words:
         coded = flat.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.offsets = offsets
-        self.vocab = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        self.distinct = coded.dictionary
+
+    @cached_property
+    def vocab(self) -> list[bytes]:
+        return self.distinct.cast(pa.large_binary()).to_pylist()
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

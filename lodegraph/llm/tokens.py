@@ -27,7 +27,9 @@ JOINED = 256
 #: A word that is a token of its own and marks word borders.
 MARK = "|"
 #: Closing characters that are split off.
-CLOSING = b".,;:!?"
+CLOSING = ".,;:!?"
+#: A last character after which closing ones begin a token of their own: a digit, or a Latin letter but U+0130.
+BORDER = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
 
 _loaded: dict[str, Encoder] = {}
 
@@ -59,6 +61,20 @@ def _latin(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
+def _split(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words without their closing characters, in lower case (A-Z), and those, where a border lies between.
+
+    A border lies after a digit or a letter that `_latin` knows. Words with a mark, so special tokens, stay whole.
+    """
+    trimmed = pc.ascii_rtrim(words, CLOSING)
+    cut = pc.and_(pc.and_(pc.match_substring_regex(trimmed, BORDER), pc.less(pc.binary_length(trimmed), pc.binary_length(words))), pc.invert(pc.match_substring(words, MARK)))
+    closing = pc.struct_field(pc.extract_regex(words, f"(?P<closing>[{CLOSING}]+)$"), "closing")
+    tails = pc.if_else(cut, pc.fill_null(closing, ""), "").cast(pa.large_string())
+    whole = pc.match_substring(words, MARK)
+    cores = pc.if_else(cut, trimmed, words)
+    return pc.if_else(whole, cores, pc.ascii_lower(cores)), tails
+
+
 class Table:
     """Ids by word: words in a dictionary, their ids one after another."""
 
@@ -127,15 +143,6 @@ class Encoder:
         found.add([w for w, _ in odd], np.concatenate([np.zeros(0, np.uint32), *own]), np.array([len(x) for x in own], np.int64))
         return found
 
-    def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word without its closing characters, and those, where a border lies between; special tokens stay whole."""
-        if b"|" in word:
-            return word, b""
-        core = word.rstrip(CLOSING)
-        if len(core) < len(word) and not (core and (core[-1:].isalnum() or (core[-1] >= 0x80 and _latin(core.decode("utf-8", "replace")[-1])))):
-            core = word
-        return core.lower(), word[len(core) :]  # bytes: A-Z only, as the tokenizer lower-cases all
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, where each text's ids begin and the last end)."""
         if not self.by_word:
@@ -144,16 +151,27 @@ class Encoder:
         words = Words(texts)
         if len(self.known.at) > KEEP:
             self.known = Table()
-        parts = [part for w in words.vocab for part in self._split(w)]
-        new = self._encoded([w for w in dict.fromkeys(parts) if w and w not in self.known.at])
+        cores, tails = _split(words.distinct)
+        parts = pa.chunked_array([cores, tails]).dictionary_encode().unify_dictionaries()
+        of_part = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in parts.chunks]) if len(words.distinct) else np.zeros(0, np.int64)
+        names = parts.chunk(0).dictionary.cast(pa.large_binary()).to_pylist() if len(words.distinct) else []
         known, base = self.known.at, len(self.known.at)
-        of = np.fromiter((-1 if not w else known[w] if w in known else base + new.at[w] for w in parts), np.int64, len(parts))
+        held = np.fromiter((known.get(w, -1) for w in names), np.int64, len(names))
+        missing = np.flatnonzero(held < 0)
+        new = self._encoded([names[i] for i in missing.tolist() if names[i]])
+        held[missing] = [base + new.at[names[i]] if names[i] else -1 for i in missing.tolist()]
         flat = np.concatenate([self.known.flat, new.flat])
-        begin = np.concatenate([self.known.begin, self.known.begin[-1] + new.begin[1:], [self.known.begin[-1] + new.begin[-1]]])  # entry -1 is empty
-        of = np.where(of < 0, len(begin) - 2, of)
-        by_part, part_ends = _gathered(flat, begin, of)
+        begin = np.concatenate([self.known.begin, self.known.begin[-1] + new.begin[1:], [self.known.begin[-1] + new.begin[-1]]])  # the last entry is empty
+        of = held[of_part]
+        of[of < 0] = len(begin) - 2
+        n = len(words.distinct)
+        by_word = np.empty(2 * n, np.int64)
+        by_word[0::2], by_word[1::2] = of[:n], of[n:]
+        by_part, part_ends = _gathered(flat, begin, by_word)
         ids, ends = _gathered(by_part, part_ends[::2], words.codes)
-        self._keep(new, of[of < len(begin) - 2] - base, np.repeat(np.bincount(words.codes, minlength=len(words.vocab)), 2)[of < len(begin) - 2])
+        counts = np.bincount(words.codes, minlength=n)
+        own = of < len(begin) - 2
+        self._keep(new, of[own] - base, np.concatenate([counts, counts])[own])
         return ids, ends[words.offsets]
 
     def _keep(self, new: Table, of: np.ndarray, counts: np.ndarray) -> None:
