@@ -27,20 +27,19 @@ def source(spark: SparkSession, folder: str, schema, files_per_batch: int | None
 def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Works off what is there and returns the rows: all appended ones, or the last complete result.
 
-    Every micro-batch writes a folder of its own named by its number, so a repeated batch replaces itself.
+    A micro-batch of appended rows writes a folder of its own named by its number, so a repeated batch replaces itself;
+    a complete result replaces the one before, an empty one too.
     """
     spark = stream.sparkSession
     at = folder or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{at}/rows/batch=-1")  # so that there is a result without any input
 
     def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={-1 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(land).start()
     query.awaitTermination()
-    rows = spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(f"{at}/rows")
-    if mode == "complete":
-        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar())
-    return rows.drop("batch")
+    return spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(f"{at}/rows").drop("batch")
 
 
 def _ddl(df: DataFrame) -> str:
