@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; n_chars follows the text, documents left bare go."""
-    return linededup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without later copies of lines, however short; n_chars follows the text, documents left bare go."""
+    return linededup.deduplicated(docs, min_words=linededup.EVERY_LINE).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ are content hashes (96 bits), the same on every executor, so a round of doubling
 then one range sort of all suffixes by the name of their first lines, equal ones by place; neighbours of one name are a
 longest-common-prefix interval. The order among different lines is that of their hashes, which is as good as any.
 
-A run counts as repeated from `min_words` words on. Every maximal repeated run is the union of the shortest blocks of
+A run counts as repeated from `min_words` words on; the queries judge every line with a word (EVERY_LINE). Every maximal repeated run is the union of the shortest blocks of
 that many words that start or end at each of its lines, so the array is sorted to the depth of those blocks, one suffix
 for each, and doubling stops at min_words lines. Of an interval, the copy at the smallest (id, line) stays and the later ones are deleted.
 
@@ -24,6 +24,8 @@ from .common import SPACE, checkpoint, let
 
 #: Words from which on a repeated run counts.
 MIN_WORDS = 10
+#: The same where nothing is to be left: every single line with a word is a run.
+EVERY_LINE = 1
 
 
 def _doubled(names: Column, width: int, hashed) -> Column:
