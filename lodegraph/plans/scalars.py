@@ -164,7 +164,7 @@ def singular_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("cid"), "l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"), F.round(F.col("l_tax") * 100).cast("int").cast("string").alias("t")).distinct()
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cid"), "l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").cast("int").cast("string").alias("q"), F.round(F.col("l_tax") * 100).cast("int").cast("string").alias("t")).distinct()
     line = line.withColumn("row", F.concat_ws(":", "l_linenumber", "l_suppkey", "l_partkey", "q", "t"))
     cells = line.select("cid", "row", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("l_partkey").cast("string").alias("value")), F.struct(F.lit(1).alias("col"), F.col("q").alias("value")), F.struct(F.lit(2).alias("col"), F.col("t").alias("value")))).alias("c")).select("cid", "row", "c.*")
     claims = line.select("cid").distinct()

@@ -1,0 +1,27 @@
+"""Queries that their SQL cuts to a subset of a table, against the same SQL over the whole of it."""
+
+import os
+
+import duckdb
+import pytest
+from test_queries import FOLDER, QUERIES, SQL, TABLES, rows
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no harness tables")
+
+#: What the SQL of a query says, and what it says over the whole table.
+WHOLE = {
+    "fact_lookup": {" WHERE l_orderkey % 4 = 0": ""},
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_table(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    sql = SQL[name]
+    for cut, whole in WHOLE[name].items():
+        sql = sql.replace(cut, whole)
+    found = QUERIES[name](spark, FOLDER)
+    listed = ", ".join(f'"{c}"' for c in sorted(found.columns))
+    assert rows(found.select(*sorted(found.columns)).collect()) == rows(con.sql(f"SELECT {listed} FROM ({sql}) AS q").fetchall())
