@@ -10,9 +10,9 @@ A run counts as repeated from `min_words` words on; the queries judge every line
 that many words that start or end at each of its lines, so the array is sorted to the depth of those blocks, one suffix
 for each, and doubling stops at min_words lines. Of an interval, the copy at the smallest (id, line) stays and the later ones are deleted.
 
-Null text is one document without lines. Blank lines take no part; those inside a deleted run go with it. Rows with
-equal id and text are one document: they don't delete each other and lose the same lines. Null ids sort first. Extra
-columns pass through; names starting with ld_ are replaced. An empty table gives an empty one.
+Null text is one document without lines. Blank lines take no part; those inside a deleted run go with it. Of rows with
+equal id and text the first keeps what a single one would; each other one is a later copy as a whole, so its lines from
+the first to the last with a word go if the text has min_words words. Null ids sort first. Extra columns pass through; names starting with ld_ are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -111,11 +111,32 @@ def later_copies(suffixes: DataFrame) -> DataFrame:
     return found.groupBy("ld_key", "ld_text").agg(cut.alias("ld_cut"))
 
 
+def _whole(lines: Column, min_words: int) -> Column:
+    """The line numbers that go from a copy of a whole text; null if it has fewer than min_words words."""
+    words = lambda x: F.size(F.array_remove(F.split(x, SPACE), ""))
+    worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), words(x).alias("words"))), lambda x: x["words"] > 0)
+    total = lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + x["words"])
+    return let(worded, lambda w: F.when(total(w) >= min_words, F.sequence(F.get(w, F.lit(0))["at"], F.element_at(w, -1)["at"])))
+
+
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with later copies of repeated line runs deleted from its text, plus ld_lines (lines before) and ld_cut."""
     base = df.drop(*[c for c in df.columns if c.startswith("ld_")])
     cut = later_copies(suffix_array(base, key, text, min_words))
-    joined = base.join(cut, base[key].eqNullSafe(cut["ld_key"]) & (F.xxhash64(base[text]) == cut["ld_text"]), "left")
+    at = lambda rows: base[key].eqNullSafe(rows["ld_key"]) & (F.xxhash64(base[text]) == rows["ld_text"])
+    names = base.filter(F.col(text).isNotNull()).select(F.col(key).alias("ld_key"), F.xxhash64(text).alias("ld_text"))
+    again = checkpoint(names.groupBy("ld_key", "ld_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ld_key", "ld_text"))
+    if again.isEmpty():
+        joined = base.join(cut, at(cut), "left")
+    else:
+        alone = base.join(again, at(again), "left_anti")
+        same = base.join(again, at(again), "left_semi").withColumn("ld_text", F.xxhash64(text))
+        order = Window.partitionBy(key, "ld_text").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in base.columns]))
+        numbered = same.withColumn("ld_n", F.row_number().over(order))
+        whole = F.when(F.col("ld_n") > 1, _whole(F.split(F.col(text), "\n"), min_words))
+        others = numbered.withColumnRenamed("ld_text", "ld_own").join(cut, numbered[key].eqNullSafe(cut["ld_key"]) & (F.col("ld_own") == cut["ld_text"]), "left")
+        columns = [F.col(f"`{c}`") for c in base.columns]
+        joined = alone.join(cut, at(cut), "left").select(*columns, "ld_cut").union(others.select(*columns, F.coalesce(whole, "ld_cut").alias("ld_cut")))
     lines = F.split(F.col(text), "\n")
     left = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("ld_cut")), lambda i: F.get(ls, i)))
     kept = F.when(F.col("ld_cut").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))

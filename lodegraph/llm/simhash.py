@@ -6,9 +6,9 @@ shared positional bytes is kept per set of 4 positions: a pair reaches the guara
 one of the 70 keys of 4 positional bytes. Each pair is taken once, under the first 4 positions it shares, and kept if
 its bits differ little enough. Only distinct fingerprints are indexed, so copies are never paired.
 
-Null text counts as empty (fingerprint zero, linked like any other). Rows sharing an id are one document for
-`keep_one`; a null id gets a class but never names one, and its row is kept. Extra columns pass through `keep_one`.
-Empty tables give empty results.
+Null text counts as empty (fingerprint zero, linked like any other). In `classes` a null id gets a class but never
+names one. `keep_one` removes by row: of each class the least row by id, then by content stays, whatever ids repeat;
+null ids sort first. Extra columns pass through `keep_one`. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -51,16 +51,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(key, fp): each row's fingerprint as a signed 64-bit integer."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, name: Column | None = None) -> DataFrame:
+    """(key, fp): each row's fingerprint as a signed 64-bit integer; `name`, a struct, replaces the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
-    kind = df.select(key).dtypes[0][1]
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    given = df.select((F.col(key) if name is None else name).alias("key"), F.col(text).alias("text"))
+    return given.mapInArrow(run, f"key {given.dtypes[0][1]}, fp long")
 
 
 def _keys(fp: Column, shared: int = 4) -> Column:
@@ -97,7 +97,11 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """(key, fp, component_id): component_id is the least key among the rows that links reach, the row's own included."""
-    fps = checkpoint(fingerprints(df, key, text, width))
+    return _classed(checkpoint(fingerprints(df, key, text, width)), distance)
+
+
+def _classed(fps: DataFrame, distance: int) -> DataFrame:
+    """(key, fp, component_id) of fps(key, fp)."""
     nodes = fps.groupBy("fp").agg(F.min("key").alias("least"))
     labels = components(links(fps, distance))
     labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
@@ -107,7 +111,16 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """df without the rows whose id is not the least of its class."""
-    found = classes(df, key, text, width, distance)
-    gone = found.filter(F.col("key") != F.col("component_id")).select(F.col("key").alias(key)).distinct()
-    return df.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The least row of each class of df, by id and then by a hash of the row; of equal rows, one."""
+    cols = [df[f"`{c}`"] for c in df.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])  # hashes skip nulls
+    x, y = F.xxhash64(nulls, *cols), F.hash(nulls, *cols)
+    found = _classed(checkpoint(fingerprints(df, key, text, width, F.struct(df[key].alias("id"), x.alias("x"), y.alias("y")))), distance)
+    rows = found.groupBy("key.x", "key.y").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.expr("key = component_id")).alias("least"))
+    special = checkpoint(rows.filter("NOT least OR n > 1").select(F.col("x").alias("x_"), F.col("y").alias("y_"), "least"))
+    named = lambda s: (x == s["x_"]) & (y == s["y_"])
+    kept = df.join(special, named(special), "left_anti")
+    repeated = special.filter("least")
+    if not repeated.isEmpty():
+        kept = kept.union(df.join(repeated, named(repeated), "left_semi").dropDuplicates())
+    return kept

@@ -2,8 +2,10 @@
 
 import corpus_pipeline
 import plain
+import pytest
+from pyspark.sql import functions as F
 
-from lodegraph.llm import queries
+from lodegraph.llm import linededup, queries, simhash
 
 
 def test_short_lines_are_judged(spark, tmp_path):
@@ -13,3 +15,33 @@ def test_short_lines_are_judged(spark, tmp_path):
     assert got == {1: (0, "", plain.sha(rows[0][1])), 2: (1, "1-1", plain.sha("\n\nShare\nsecond body")), 3: (2, "0-1", plain.sha("")), 4: (0, "", plain.sha(""))}
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "\n\nShare\nsecond body", 4: None}
+
+
+def prose(seed):
+    import random
+
+    r = random.Random(seed)
+    return "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(4))
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c, d = map(prose, "abcd")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (8, c, "x"), (8, c, "x"), (8, c, None), (None, d, "x"), (None, d, "x"), (9, d, "x"), (10, "", "x"), (10, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = simhash.keep_one(df).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got) == sorted([("3", a), ("5", b), ("8", c), ("None", d), ("10", "")])
+    assert {tuple(r) for r in got} <= set(rows)
+
+
+@pytest.mark.parametrize("least", [1, 10])
+def test_equal_rows_lose_their_lines(spark, least):
+    a, b = "\n" + prose("a") + "\n\n", prose("b")
+    rows = [(1, a), (1, a), (1, a), (1, b), (2, a), (None, b), (None, b), (4, "short"), (4, "short"), (5, None), (5, None), (6, " "), (6, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in linededup.line_dedup(df, min_words=least).collect())
+    gone = "" if least == 1 else "short"
+    bare = [("1", "\n\n")] * 2 + [("2", "\n\n"), ("1", ""), ("None", "")]
+    want = [("1", a), ("None", b), ("4", "short"), ("4", gone), ("5", "None"), ("5", "None"), ("6", " "), ("6", " "), *bare]
+    assert got == sorted(want)
+    left = linededup.deduplicated(df.withColumn("n", F.lit(1)), min_words=least)
+    assert left.filter(F.col("text").isin(a, b)).count() == 2 and left.columns == ["doc_id", "text", "n"]
