@@ -149,7 +149,7 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("ref"), F.when(F.col("l_returnflag") == "N", "object").otherwise("lineage").alias("bind"),
         F.when(F.col("l_linenumber") > 1, F.expr("CASE WHEN l_linenumber = 2 THEN -1 ELSE l_partkey * 2 % 1999 END")).cast("bigint").alias("at"),
     )
-    objects = table(spark, sf_dir, "part").filter("p_partkey < 1800").select(F.col("p_partkey").alias("cid"), F.when(F.col("p_size") > 40, "doc").otherwise("claim").alias("kind"))
+    objects = table(spark, sf_dir, "part").filter("p_size <= 45").select(F.col("p_partkey").alias("cid"), F.when(F.col("p_size") > 40, "doc").otherwise("claim").alias("kind"))
     heads = objects.select("cid", F.explode(F.expr("CASE WHEN cid % 10 = 0 THEN array(cid, cid * 2 % 1999) ELSE array(cid * 2 % 1999) END")).alias("head"))
     return listing.citation_check(items, objects, heads).groupBy("ref", "bind", "status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -56,7 +56,7 @@ def _generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generation_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _generations(spark, sf_dir)
-    start = table(spark, sf_dir, "customer").filter("c_custkey < 40").select(F.expr("c_custkey % 5").cast("bigint").alias("domain"), F.col("c_custkey").cast("string").alias("cid"))
+    start = table(spark, sf_dir, "customer").select(F.expr("c_custkey % 5").cast("bigint").alias("domain"), F.col("c_custkey").cast("string").alias("cid"))
     return domains.applied(start, g.filter("NOT gone"), g.filter("gone"))
 
 

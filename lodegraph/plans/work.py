@@ -31,9 +31,11 @@ def draft_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("alias"), F.expr("user_id % 60").alias("slug")).distinct()
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 300").select(F.element_at(F.array(*[F.lit(x) for x in ("view", "signup", "purchase", "error", "click")]), (F.col("c_custkey") % 5 + 1).cast("int")).alias("alias"), F.expr("c_custkey div 5").alias("slug"), F.col("c_custkey").alias("cid"))
-    return workspace.resolved(e, c, c.filter("cid % 3 > 0").select("alias", "cid"))
+    """Every user's slug asked for, against the customers outside one segment; those in debt are newer than the pin."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("alias"), F.col("user_id").alias("slug")).distinct()
+    held = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'")
+    c = held.select(F.element_at(F.array(*[F.lit(x) for x in ("view", "signup", "purchase", "error", "click")]), (F.col("c_custkey") % 5 + 1).cast("int")).alias("alias"), F.expr("c_custkey div 5").alias("slug"), F.col("c_custkey").alias("cid"), "c_acctbal")
+    return workspace.resolved(e, c.drop("c_acctbal"), c.filter("c_acctbal >= 0").select("alias", "cid"))
 
 
 def rival_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:

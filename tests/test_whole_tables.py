@@ -12,6 +12,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no harness ta
 WHOLE = {
     "fact_lookup": {" WHERE l_orderkey % 4 = 0": ""},
     "undeclared_forks": {" HAVING count(*) >= 2": ""},
+    "citation_check": {"WHERE p_partkey < 1800": "WHERE p_size <= 45"},
+    "term_mentions": {" WHERE lang = 'en'": ""},
+    "generation_apply": {" WHERE c_custkey < 40": ""},
+    "generation_roots": {" WHERE c_custkey < 40": ""},
+    "import_resolution": {"user_id % 60": "user_id", "c_custkey AS cid FROM": "c_custkey AS cid, c_acctbal FROM", "c_custkey < 300": "c_mktsegment <> 'BUILDING'", "c.cid % 3 = 0": "c_acctbal < 0"},
 }
 
 
