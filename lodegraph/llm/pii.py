@@ -29,16 +29,22 @@ class Kind(NamedTuple):
 
 #: Kinds in the order that breaks ties, the contract's four first. A pattern may start inside a run of
 #: its first characters only where the last match ended (\G): there, and at the run's start, it matches what the
-#: plain pattern would, without trying each later start of a run that leads nowhere.
+#: plain pattern would, without trying each later start of a run that leads nowhere. Of an IBAN the pattern takes the
+#: head alone and looks at what may follow: `iban_length` says where it ends.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"mail|contact|e-mail|correo|courriel"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server|adresse"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, r"card|visa|credit|payment|tarjeta|carte|karte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"phone|tel|call|mobile|fax|telefon"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.8, r"iban|account|bank|konto|cuenta|compte"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", 0.8, r"iban|account|bank|konto|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"\bssn\b|social security"),
 )
 BASE = ("email", "ip", "card", "phone")
+#: Characters of an IBAN by its country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT",
+}
 #: Context: characters looked at on either side, and what a hit adds to a score.
 REACH, BONUS = 40, 0.35
 #: A span that isn't one of the base kinds needs this score.
@@ -64,6 +70,17 @@ def mod97(text: Column) -> Column:
     return F.length(packed).between(15, 34) & (rest == 1)
 
 
+def iban_length(text: Column) -> Column:
+    """Characters of the IBAN that starts a text, 0 if none does: it ends at a token border, at its country's length
+    where a valid one does, otherwise at the last border up to which it is valid."""
+    head = lambda p: F.substr(text, F.lit(1), p)
+    at = lambda p: F.substr(text, p, F.lit(1))
+    valid = F.filter(F.sequence(F.lit(15), F.greatest(F.length(text), F.lit(15))), lambda p: at(p).rlike("[A-Z0-9]") & ~at(p + 1).rlike("[A-Za-z0-9]") & mod97(head(p)))
+    country = F.substr(text, F.lit(1), F.lit(2))
+    usual = F.coalesce(*[F.when(country.isin(*names.split()), n) for n, names in IBAN_LENGTHS.items()], F.lit(0))
+    return let(valid, lambda v: F.coalesce(F.get(F.filter(v, lambda p: F.length(F.translate(head(p), " ", "")) == usual), F.lit(0)), F.array_max(v), F.lit(0)))
+
+
 def confirmed(kind: str, match: Column) -> Column:
     """The checking rule of a kind."""
     digits = F.regexp_replace(match, "[^0-9]", "")
@@ -102,6 +119,15 @@ def _placed(text: Column, kind: Kind, rank: int) -> Column:
 
         return let(steps, chunked)
 
+    def ended(s: Column) -> Column:
+        """Heads of IBANs made spans of whole ones, of which none starts inside another."""
+        tails = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))
+        whole = lambda x, w: let(iban_length(w), lambda n: F.struct(x["start"].alias("start"), (x["start"] + n).alias("end"), F.substr(w, F.lit(1), n).alias("m")))
+        valid = F.filter(F.zip_with(s, tails, lambda x, t: let(F.concat(x["m"], t), lambda w: whole(x, w))), lambda x: x["end"] > x["start"])
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("kept"))
+        step = lambda a, x: F.when(x["start"] < a["at"], a).otherwise(F.struct(x["end"].alias("at"), F.concat(a["kept"], F.array(x)).alias("kept")))
+        return F.aggregate(valid, none, step, lambda a: a["kept"])
+
     def kept(s: Column) -> Column:
         good = F.filter(s, lambda x: confirmed(kind.name, x["m"]))
         near = lambda x: F.concat_ws("\n", F.substr(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))), F.substr(text, x["end"] + 1, F.lit(REACH)))
@@ -109,7 +135,8 @@ def _placed(text: Column, kind: Kind, rank: int) -> Column:
         return scored if kind.name in BASE else F.filter(scored, lambda x: x["score"] >= MIN_SCORE)
 
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,score:double>>")
-    found = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda ms: F.when(F.size(ms) == 0, empty).otherwise(kept(spans(F.split(text, kind.pattern, -1), ms))))
+    placed = lambda ms: (ended if kind.name == "iban" else lambda s: s)(spans(F.split(text, kind.pattern, -1), ms))
+    found = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda ms: F.when(F.size(ms) == 0, empty).otherwise(let(placed(ms), kept)))
     return F.coalesce(found, empty)
 
 

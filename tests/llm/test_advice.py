@@ -5,7 +5,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm import linededup, queries, simhash
+from lodegraph.llm import linededup, pii, queries, simhash
 
 
 def test_short_lines_are_judged(spark, tmp_path):
@@ -45,3 +45,13 @@ def test_equal_rows_lose_their_lines(spark, least):
     assert got == sorted(want)
     left = linededup.deduplicated(df.withColumn("n", F.lit(1)), min_words=least)
     assert left.filter(F.col("text").isin(a, b)).count() == 2 and left.columns == ["doc_id", "text", "n"]
+
+
+def test_iban_ends_at_its_length(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [
+        (f"IBAN {de} BIC COBADEFFXXX", [de]), (f"{gb} USD 20", [gb]), (f"IBAN {de} 32 2024", [de]), (f"pay {de} {gb} {de}", [de, gb, de]), (f"{de}", [de]), (f"{de} or", [de]),
+        (f"{de}X", []), (f"x{de}", []), (f"{gb}a", []), ("DE88 3704 0044 0532 0130 00 BIC", []), (f"IBAN {de} Berlin", [de]), (f"AB12 {de} EUR", [de]), (None, []),
+    ]
+    got = {r["n"]: [r["text"][x["start"] : x["end"]] for x in r["pii"] if x["kind"] == "iban"] for r in pii.pii_spans(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "n int, text string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
