@@ -2,6 +2,9 @@
 
 Null text counts as empty. Nulls in other columns, extra columns, repeated rows and empty tables pass through
 unchanged; every row is judged on its own, so ties cannot arise. Very long texts are handled in linear space.
+
+Stop words are listed for English, French, German and Spanish alone. Where df has a column `lang`, their share is judged
+only in rows whose language is one of those (en-US counts as en; null as none); without it, in every row.
 """
 
 from __future__ import annotations
@@ -124,13 +127,22 @@ def measured(text: Column) -> Column:
     return let(let(words_of(text), lambda w: let(with_word, lambda x: counted(w, x))), rated)
 
 
-def compiled(rules: tuple[Rule, ...], m: Column) -> Column:
-    """Array of the names of the rules that a struct of measures fails."""
+def listed(df: DataFrame, lang: str = "lang") -> Column:
+    """Whether a row's language has stop words; true if df doesn't say."""
+    if lang not in df.columns:
+        return F.lit(True)
+    return F.coalesce(F.lower(F.regexp_extract(F.col(lang), "^[A-Za-z]+", 0)).isin(*STOP_WORDS), F.lit(False))
+
+
+def compiled(rules: tuple[Rule, ...], m: Column, has_list: Column | None = None) -> Column:
+    """Array of the names of the rules that a struct of measures fails; those on stop words hold where has_list does."""
     tests = []
     for r in rules:
         bad = F.lit(False)
         bad = bad | (m[r.measure] < r.least) if r.least is not None else bad
         bad = bad | (m[r.measure] > r.most) if r.most is not None else bad
+        if has_list is not None and r.measure in ("stop_ratio", "n_stop"):
+            bad = bad & has_list
         tests.append(F.when(bad & (m["n_words"] >= r.min_words), F.lit(r.name)))
     return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
 
@@ -144,11 +156,11 @@ def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     """df plus its measures, q_base_failed, q_failed (names of failed rules) and q_kept; columns q_... of df are replaced."""
     out = df.drop(*[c for c in df.columns if c.startswith("q_")]).withColumn("q_", measured(F.col(text)))
     m = F.col("q_")
-    out = out.withColumn("q_base_failed", base_failed(m, min_words, repeat_percent)).withColumn("q_failed", compiled(rules, m))
+    out = out.withColumn("q_base_failed", base_failed(m, min_words, repeat_percent)).withColumn("q_failed", compiled(rules, m, listed(df)))
     fields = [m[k].alias(f"q_{k}") for k in (*COUNTS, *RATIOS)]
     return out.select(*[c for c in out.columns if c != "q_"], *fields, (~F.col("q_base_failed") & (F.size("q_failed") == 0)).alias("q_kept"))
 
 
 def kept_documents(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
     """The rows that pass, with the columns of df; one filter, whose measures a lambda holds so that none is made twice."""
-    return df.filter(let(measured(F.col(text)), lambda m: ~base_failed(m, min_words, repeat_percent) & (F.size(compiled(rules, m)) == 0)))
+    return df.filter(let(measured(F.col(text)), lambda m: ~base_failed(m, min_words, repeat_percent) & (F.size(compiled(rules, m, listed(df))) == 0)))

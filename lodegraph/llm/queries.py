@@ -29,7 +29,7 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
+    q = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return q.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in counts], F.array_join("q_failed", ",").alias("failed_rules"))
 

@@ -5,7 +5,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm import linededup, pii, queries, simhash
+from lodegraph.llm import linededup, pii, quality, queries, simhash
 
 
 def test_short_lines_are_judged(spark, tmp_path):
@@ -55,3 +55,12 @@ def test_iban_ends_at_its_length(spark):
     ]
     got = {r["n"]: [r["text"][x["start"] : x["end"]] for x in r["pii"] if x["kind"] == "iban"] for r in pii.pii_spans(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "n int, text string")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
+def test_stop_words_only_where_listed(spark):
+    polish = "Rada miasta spotkała się wczoraj wieczorem, aby omówić budowę nowej drogi przez dolinę. Wielu mieszkańców popierało plan, lecz część obawiała się hałasu oraz kosztów. Burmistrz obiecał przedstawić dokładny raport przed końcem miesiąca, kiedy znane będą oferty trzech firm. Głosowanie odbędzie się dopiero jesienią, ponieważ projekt wymaga zgody województwa oraz opinii ekspertów od środowiska naturalnego."
+    rows = [(1, polish, "pl"), (2, polish, "en"), (3, polish, "en-US"), (4, polish, None), (5, polish, "PL")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: list(r["q_failed"]) for r in quality.quality_rules(df).collect()} == {1: [], 2: ["stop_word_share"], 3: ["stop_word_share"], 4: [], 5: []}
+    assert {r["doc_id"] for r in quality.kept_documents(df).collect()} == {1, 4, 5}
+    assert [list(r["q_failed"]) for r in quality.quality_rules(df.filter("doc_id = 1").drop("lang")).collect()] == [["stop_word_share"]]
