@@ -217,11 +217,11 @@ FROM senses a JOIN senses b ON b.claim = a.claim + 1 AND b.term = a.term JOIN ge
     "term_partition": """WITH g AS (SELECT p_type AS term, p_brand AS definition, count(DISTINCT l_orderkey) AS claims FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
 SELECT term, CAST(row_number() OVER (PARTITION BY term ORDER BY claims DESC, definition) AS INTEGER) AS place, definition, claims FROM (SELECT *, count(*) OVER (PARTITION BY term) AS n FROM g) WHERE n >= 2""",
     "contested_terms": "SELECT p_partkey AS cid, lower(p_name) AS term, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49) AS contested FROM part",
-    "undeclared_forks": """WITH i AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS ref FROM lineitem), s AS (SELECT doc, count(*) AS n FROM i GROUP BY doc HAVING count(*) >= 2), k AS (SELECT i.* FROM i JOIN s ON s.doc = i.doc),
+    "undeclared_forks": """WITH i AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS ref FROM lineitem), s AS (SELECT doc, count(*) AS n FROM i GROUP BY doc), k AS (SELECT i.* FROM i JOIN s ON s.doc = i.doc),
 p AS (SELECT x.doc AS a, y.doc AS b, count(*) AS shared FROM k x JOIN k y ON y.ref = x.ref AND x.doc < y.doc GROUP BY 1, 2)
 SELECT a, b, shared, least(sa.n, sb.n) AS least, shared * 100 // least(sa.n, sb.n) AS percent FROM p JOIN s sa ON sa.doc = a JOIN s sb ON sb.doc = b WHERE shared * 100 // least(sa.n, sb.n) >= 40 AND b - a <> 1""",
     "citation_check": """WITH i AS (SELECT l_partkey AS ref, CASE WHEN l_returnflag = 'N' THEN 'object' ELSE 'lineage' END AS bind, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN -1 ELSE l_partkey * 2 % 1999 END AS ver FROM lineitem),
-o AS (SELECT p_partkey AS cid, p_size <= 40 AS claim FROM part WHERE p_partkey < 1800),
+o AS (SELECT p_partkey AS cid, p_size <= 40 AS claim FROM part WHERE p_size <= 45),
 h AS (SELECT cid, CASE WHEN cid % 10 = 0 THEN 2 ELSE 1 END AS n, CASE WHEN cid % 10 = 0 THEN least(cid, cid * 2 % 1999) ELSE cid * 2 % 1999 END AS head FROM o)
 SELECT ref, bind, CASE WHEN o.cid IS NULL THEN 'missing' WHEN NOT o.claim THEN 'not-a-claim' WHEN bind = 'object' THEN 'ok' WHEN ver IS NULL THEN 'no-at' WHEN v.cid IS NULL THEN 'unreachable-at' WHEN h.n > 1 OR h.head <> ver THEN 'diverged' ELSE 'ok' END AS status, count(*) AS n
 FROM i LEFT JOIN o ON o.cid = ref LEFT JOIN o v ON v.cid = ver LEFT JOIN h ON h.cid = ref GROUP BY 1, 2, 3""",

@@ -203,7 +203,7 @@ def _tree_sql(members: str) -> str:
 
 _PATHS = "st AS (SELECT l0.tree, l0.pos, k AS level, xor(l0.pos >> k, 1) AS sib FROM l0, range(0, 12) AS r(k)), pa AS (SELECT st.tree, st.pos, string_agg(every.h, ',' ORDER BY st.level) AS path FROM st JOIN every ON every.tree = st.tree AND every.level = st.level AND every.pos = st.sib GROUP BY 1, 2)"
 _GEN = "g AS (SELECT user_id % 5 AS domain, event_id // 1000 AS idx, CAST(user_id AS VARCHAR) AS cid, event_type = 'error' AS gone FROM events)"
-_APPLIED = f"{_GEN}, acts AS (SELECT CAST(c_custkey % 5 AS BIGINT) AS domain, CAST(c_custkey AS VARCHAR) AS cid, -1 AS idx, 0 AS gone FROM customer WHERE c_custkey < 40 UNION ALL SELECT domain, cid, idx, CAST(gone AS INT) FROM g), applied AS (SELECT domain, cid FROM acts GROUP BY 1, 2 HAVING max(idx * 2 + gone) % 2 = 0)"
+_APPLIED = f"{_GEN}, acts AS (SELECT CAST(c_custkey % 5 AS BIGINT) AS domain, CAST(c_custkey AS VARCHAR) AS cid, -1 AS idx, 0 AS gone FROM customer UNION ALL SELECT domain, cid, idx, CAST(gone AS INT) FROM g), applied AS (SELECT domain, cid FROM acts GROUP BY 1, 2 HAVING max(idx * 2 + gone) % 2 = 0)"
 _APPLIED = _APPLIED.replace("max(idx * 2 + gone) % 2 = 0", "(max(idx * 2 + gone) + 2) % 2 = 0")
 _NUM = "n AS (SELECT DISTINCT user_id % 10 AS domain, event_id // 5 AS idx FROM events WHERE value > 3)"
 _HALF = "a AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE o_orderdate < '1998-01-01'), b AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE o_orderdate >= '1998-01-01')"

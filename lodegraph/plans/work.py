@@ -89,8 +89,8 @@ r AS (SELECT 'world/' || r_name AS path, r_name AS name, sha256(unhex('0002' ||
 w AS (SELECT 'world' AS path, sha256(unhex('0002' || '0200000000000000' || hex(encode('v1')) || (SELECT {_ENTRY} FROM r))) AS h) SELECT path, h AS hash FROM n UNION ALL SELECT path, h FROM r UNION ALL SELECT path, h FROM w""",
     "draft_report": """WITH d AS (SELECT p_partkey AS slug, CASE WHEN p_size > 25 THEN p_brand ELSE p_name END AS draft FROM part WHERE p_size % 3 > 0), p AS (SELECT p_partkey AS slug, p_brand AS published FROM part WHERE p_size % 4 > 0)
 SELECT coalesce(d.slug, p.slug) AS slug, CASE WHEN published IS NULL THEN 'new' WHEN draft IS NULL THEN 'withdrawn' WHEN draft = published THEN 'unchanged' ELSE 'changed' END AS change, draft, published FROM d FULL JOIN p ON p.slug = d.slug""",
-    "import_resolution": """WITH e AS (SELECT DISTINCT event_type AS alias, user_id % 60 AS slug FROM events), c AS (SELECT (['view', 'signup', 'purchase', 'error', 'click'])[CAST(c_custkey % 5 AS INT) + 1] AS alias, c_custkey // 5 AS slug, c_custkey AS cid FROM customer WHERE c_custkey < 300)
-SELECT e.alias, e.slug, c.cid, CASE WHEN c.cid IS NULL THEN 'unknown' WHEN c.cid % 3 = 0 THEN 'newer than the pin' END AS fault FROM e LEFT JOIN c ON c.alias = e.alias AND c.slug = e.slug""",
+    "import_resolution": """WITH e AS (SELECT DISTINCT event_type AS alias, user_id AS slug FROM events), c AS (SELECT (['view', 'signup', 'purchase', 'error', 'click'])[CAST(c_custkey % 5 AS INT) + 1] AS alias, c_custkey // 5 AS slug, c_custkey AS cid, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT e.alias, e.slug, c.cid, CASE WHEN c.cid IS NULL THEN 'unknown' WHEN c_acctbal < 0 THEN 'newer than the pin' END AS fault FROM e LEFT JOIN c ON c.alias = e.alias AND c.slug = e.slug""",
     "rival_concepts": "WITH g AS (SELECT DISTINCT p_brand || '/' || p_size AS code, p_partkey % 500 AS genesis FROM part) SELECT code, string_agg(genesis, ',' ORDER BY genesis) AS rivals FROM g GROUP BY code HAVING count(*) > 1",
     "needed_objects": """WITH RECURSIVE part_edges AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0), steps AS (SELECT * FROM part_edges UNION SELECT p_partkey - 3, p_partkey FROM part WHERE p_partkey % 10 = 3),
 r AS (SELECT p_partkey AS n FROM part WHERE p_size = 7 UNION SELECT dst FROM r JOIN steps ON src = n) SELECT n AS cid FROM r WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_size = 7) AND n IN (SELECT p_partkey FROM part WHERE p_size <> 9)""",
