@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,28 +22,96 @@ SPACE = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
 
 
+#: Whether Spark deletes an execution's shuffle files when it ends.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster shares (spark.checkpoint.dir); where none is set, a local one under a local master alone."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodegraph-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
+@contextmanager
+def shuffle_files_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, executions delete their shuffle files when they end."""
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a path that Spark writes to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable copy of df in the shared folder: later steps survive lost executors and see the same rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return saved(df, "held").rows
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of frames that nothing refers to any more."""
-    for _ in range(2):  # the second round takes what the first one's references held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    system, at = _hadoop(spark, path)
+    system.deleteOnExit(at)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at a path that nothing reads any more."""
+    system, at = _hadoop(spark, path)
+    system.delete(at, True)
+
+
+class Saved(NamedTuple):
+    """Rows written to the shared folder: later steps survive lost executors and see the same rows."""
+
+    rows: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        deleted(self.rows.sparkSession, self.path)
+
+
+def saved(df: DataFrame, name: str) -> Saved:
+    """df as a Parquet table in the shared folder; shuffle files of its making go at once."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with shuffle_files_deleted(spark):
+        df.write.parquet(path)
+    return Saved(spark.read.schema(df.schema).parquet(path), path)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with table on keys (not null), of which table holds each once, with the number of its rows in `count`.
+
+    Keys of more than a quarter of a task's share of the rows, at most four a task, meet their rows by a broadcast of
+    that bounded table, so a hot key isn't dealt to one task; the others by whatever join Spark chooses.
+    """
+    most = 4 * partitions(rows.sparkSession)
+    share = table.agg(F.coalesce(F.sum(count) / most, F.lit(0))).scalar()
+    hot, cold = table.filter(F.col(count) > share), table.filter(F.col(count) <= share)
+    few = F.broadcast(hot)
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

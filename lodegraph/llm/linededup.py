@@ -1,18 +1,21 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling over line ids; later copies are deleted.
+"""Line dedup: repeated runs of lines, by distributed prefix doubling over line ids; later copies are deleted.
 
-A document is a sequence of line ids (hashes of its lines that have a word). Doubling names every block of 1, 2, 4, ...
-lines by the names of its two halves, so the name of a block of any length follows from two overlapping blocks. Names
-are content hashes (96 bits), the same on every executor, so a round of doubling needs no shuffle. The suffix array is
-then one range sort of all suffixes by the name of their first lines, equal ones by place; neighbours of one name are a
-longest-common-prefix interval. The order among different lines is that of their hashes, which is as good as any.
+A document is a sequence of line ids (96-bit hashes of its lines that have a word), and every line begins a suffix. A
+round of doubling names the block of 2w lines at a suffix by the pair of ranks of its two halves of w lines; names are
+sorted by range over the cluster, and running sums of their counts give each its rank: the place in the suffix array,
+sorted to that depth, where the suffixes of that name begin. Those `n` places from `rank` on are a longest-common-prefix
+interval of at least 2w lines. A name met once is left out with its suffix, so rounds shrink; they end when no block
+repeats, after about log2 of the longest repeat. Line ids are ordered by their hashes, which is as good as any order.
 
-A run counts as repeated from `min_words` words on; the queries judge every line with a word (EVERY_LINE). Every maximal repeated run is the union of the shortest blocks of
-that many words that start or end at each of its lines, so the array is sorted to the depth of those blocks, one suffix
-for each, and doubling stops at min_words lines. Of an interval, the copy at the smallest (id, line) stays and the later ones are deleted.
+Of an interval the suffix at the smallest place (id, hash of the text, line) is the first, all others are later copies.
+The deepest interval in which a suffix is later says how much of what begins there is copied, and from where; together
+these blocks make up the maximal repeated runs, and they go. A run counts from `min_lines` lines on: if that isn't a
+power of two, intervals of just that depth are added, named by two overlapping blocks.
 
-Null text is one document without lines. Blank lines take no part; those inside a deleted run go with it. Of rows with
+Null text is one document without lines. Blank lines take no part; those inside a repeated run go with it. Of rows with
 equal id and text the first keeps what a single one would; each other one is a later copy as a whole, so its lines from
-the first to the last with a word go if the text has min_words words. Null ids sort first. Extra columns pass through; names starting with ld_ are replaced. An empty table gives an empty one.
+the first to the last with a word go if there are min_lines of them. Null ids sort first. Extra columns pass through;
+names starting with ld_ are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,129 +23,161 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, let
+from .common import SPACE, Saved, let, partitions, saved, spread_join
 
-#: Words from which on a repeated run counts.
-MIN_WORDS = 10
-#: The same where nothing is to be left: every single line with a word is a run.
-EVERY_LINE = 1
+#: Lines from which on a repeated run counts: every single one.
+MIN_LINES = 1
+#: Names that one task puts in order, and that are broadcast (some 100 bytes each) rather than shuffled to their suffixes.
+PART_ROWS, BROADCAST_ROWS = 1 << 20, 1 << 17
+#: A suffix: its document (id and hash of the text) and the number of its first line among those with a word.
+SUFFIX = ("ld_key", "ld_text", "line")
 
 
-def _doubled(names: Column, width: int, hashed) -> Column:
-    """Names of blocks of 2 * width lines from those of width lines."""
-    fits = F.size(names) > width
-    return F.when(fits, F.transform(F.sequence(F.lit(0), F.size(names) - width - 1), lambda i: hashed(F.get(names, i), F.get(names, i + width)))).otherwise(F.slice(names, 1, 0))
+def _worded(text: Column) -> Column:
+    """Array of (at, text) of the lines with a word; at counts all lines."""
+    every = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("text")))
+    return F.filter(every, lambda x: x["text"].rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _levels(names: Column, count: int, hashed, body) -> Column:
-    """body(array of the names at each doubling)."""
+def line_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ld_key, ld_text, line, a, b): the id of each line with a word, in two columns."""
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    rows = df.select(F.col(key).alias("ld_key"), F.xxhash64(text).alias("ld_text"), F.posexplode(lines).alias("line", "ld_line"))
+    return rows.select(*SUFFIX, F.xxhash64("ld_line").alias("a"), F.hash("ld_line").cast("bigint").alias("b"))
 
-    def grow(found: tuple[Column, ...]) -> Column:
-        if len(found) == count:
-            return let(F.array(*found), body)
-        return let(_doubled(found[-1], 1 << (len(found) - 1), hashed), lambda x: grow((*found, x)))
 
-    return let(names, lambda x: grow((x,)))
+def ranked(names: DataFrame, rows: int) -> DataFrame:
+    """names(a, b, n, ...) plus `rank`: the sum of n over all smaller names (a, b), of which none repeats.
 
-
-def _blocks(lines: Column, min_words: int) -> Column:
-    """Shortest blocks with min_words words from and up to each line: array of (start, stop, len, k1, k2).
-
-    lines: array of (at, text, words) of the lines with a word; start and stop are line numbers, both included.
-    """
-    rounds = min_words.bit_length()
-    murmur = lambda *c: F.hash(*c).cast("bigint")
-    counts = lambda ls: F.transform(ls, lambda x: x["words"])
-
-    def length(part: Column) -> Column:
-        """Lines of `part` needed for min_words words, 0 if there are too few."""
-        zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("len"))
-        step = lambda a, x: F.when(a["sum"] >= min_words, a).otherwise(F.struct((a["sum"] + x).alias("sum"), (a["len"] + 1).alias("len")))
-        return F.aggregate(part, zero, step, lambda a: F.when(a["sum"] >= min_words, a["len"]).otherwise(0))
-
-    def spans(ls: Column, c: Column) -> Column:
-        n = F.size(ls)
-        forward = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), length(F.slice(c, i + 1, min_words)).alias("len")))
-        head = lambda j: F.slice(c, F.greatest(j + 2 - min_words, F.lit(1)), F.least(j + 1, F.lit(min_words)))
-        back = F.transform(F.sequence(F.lit(0), n - 1), lambda j: let(length(F.reverse(head(j))), lambda m: F.struct((j - m + 1).alias("i"), m.alias("len"))))
-        return F.filter(F.array_distinct(F.concat(forward, back)), lambda s: s["len"] > 0)
-
-    def keyed(ls: Column) -> Column:
-        exponent = lambda m: sum([(m >= (1 << b)).cast("int") for b in range(1, rounds)], F.lit(0))
-        key = lambda lv, s, hashed: let(exponent(s["len"]), lambda e: hashed(s["len"], F.get(F.get(lv, e), s["i"]), F.get(F.get(lv, e), s["i"] + s["len"] - F.call_function("shiftleft", F.lit(1), e))))
-        made = lambda a, b: F.transform(
-            let(counts(ls), lambda c: spans(ls, c)),
-            lambda s: F.struct(F.get(ls, s["i"])["at"].alias("start"), F.get(ls, s["i"] + s["len"] - 1)["at"].alias("stop"), key(a, s, F.xxhash64).alias("k1"), key(b, s, murmur).alias("k2")),
-        )
-        first = lambda hashed: F.transform(ls, lambda x: hashed(x["text"]))
-        return _levels(first(F.xxhash64), rounds, F.xxhash64, lambda a: _levels(first(murmur), rounds, murmur, lambda b: made(a, b)))
-
-    return let(lines, lambda ls: F.when(F.size(ls) > 0, keyed(ls)))
-
-
-def suffix_array(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The suffixes of all line sequences in order of their names to the depth that counts, equal ones by place.
-
-    Columns ld_key, ld_text (hash of the text), start, stop (lines of the block that gives the depth), k1 and k2 (its
-    name) and part (the task that holds the suffix). A range sort: an interval of equal names may span many parts.
+    A range sort, sums per part and their running sums over a row per part; no task sees more than a part, and up to
+    PART_ROWS names are one.
     """
-    numbered = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("text"), F.size(F.array_remove(F.split(x, SPACE), "")).alias("words")))
-    blocks = _blocks(F.filter(numbered, lambda x: x["words"] > 0), min_words)
-    rows = df.select(F.col(key).alias("ld_key"), F.xxhash64(text).alias("ld_text"), F.explode(blocks).alias("b")).select("ld_key", "ld_text", "b.*")
-    order = ("k1", "k2", "ld_key", "ld_text", "start", "stop")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpoint(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    if rows <= PART_ROWS:
+        smaller = Window.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+        return names.withColumn("rank", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+    parts = names.repartitionByRange(partitions(names.sparkSession), "a", "b").withColumn("part", F.spark_partition_id())
+    own = Window.partitionBy("part").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = saved(parts.withColumn("inside", F.coalesce(F.sum("n").over(own), F.lit(0))), "line-ranks").rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    base = placed.groupBy("part").agg(F.sum("n").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    return placed.join(F.broadcast(base), "part").withColumn("rank", F.col("base") + F.col("inside")).drop("part", "inside", "base")
 
 
-def later_copies(suffixes: DataFrame) -> DataFrame:
-    """Per document with deletions: ld_key, ld_text and ld_cut, the sorted array of line numbers to delete.
+def intervals(blocks: DataFrame, name: str) -> Saved | None:
+    """(ld_key, ld_text, line, rank, n, first) of the suffixes whose block name (a, b) repeats; None if none does.
 
-    Neighbours of one name in the suffix array share a prefix of that depth; such an interval's first place stays.
-    Within a part a window finds it; intervals that span parts, one at each border at most, are settled in a table of
-    no more rows than parts.
+    rank, n: their interval of the suffix array; first: the least suffix of it.
     """
-    place, name = F.struct("ld_key", "ld_text", "start"), ["k1", "k2"]
-    ends = suffixes.groupBy("part").agg(F.min(F.struct(*name)).alias("lo"), F.max(F.struct(*name)).alias("hi"))
-    border = ends.select("part", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e")).groupBy("e.k1", "e.k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*name)
-    spanning = suffixes.join(F.broadcast(border), name).groupBy(*name).agg(F.min(place).alias("across"))
-    within = F.min(place).over(Window.partitionBy("part", *name))
-    found = suffixes.withColumn("first", within).join(F.broadcast(spanning), name, "left").filter(place > F.coalesce(F.least("across", "first"), F.col("first")))
-    cut = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "stop")))))
-    return found.groupBy("ld_key", "ld_text").agg(cut.alias("ld_cut"))
-
-
-def _whole(lines: Column, min_words: int) -> Column:
-    """The line numbers that go from a copy of a whole text; null if it has fewer than min_words words."""
-    words = lambda x: F.size(F.array_remove(F.split(x, SPACE), ""))
-    worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), words(x).alias("words"))), lambda x: x["words"] > 0)
-    total = lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + x["words"])
-    return let(worded, lambda w: F.when(total(w) >= min_words, F.sequence(F.get(w, F.lit(0))["at"], F.element_at(w, -1)["at"])))
-
-
-def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """df with later copies of repeated line runs deleted from its text, plus ld_lines (lines before) and ld_cut."""
+    repeated = saved(blocks.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*SUFFIX)).alias("first")).filter("n > 1"), f"{name}-names")
+    rows = repeated.rows.count()
+    if not rows:
+        repeated.drop()
+        return None
+    ranks = ranked(repeated.rows, rows)
+    found = blocks.join(F.broadcast(ranks), ["a", "b"]) if rows <= BROADCAST_ROWS else spread_join(blocks, ranks, ["a", "b"], "n")
+    level = saved(found.select(*SUFFIX, "rank", "n", "first"), name)
+    repeated.drop()
+    return level
+
+
+def _ahead(level: DataFrame, lines: int) -> DataFrame:
+    """(ld_key, ld_text, line, a, b): the rank of each suffix and that of the one `lines` further on, where both have one."""
+    at = Window.partitionBy("ld_key", "ld_text").orderBy("line").rangeBetween(lines, lines)
+    return level.select(*SUFFIX, F.col("rank").alias("a"), F.max("rank").over(at).alias("b")).filter("b IS NOT NULL")
+
+
+def suffix_array(lines: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, Saved]]:
+    """(depth, intervals) of the suffix array of line_ids, depth by depth: 1, 2, 4, ... and min_lines, while blocks repeat."""
+    if min_lines < 1:
+        raise ValueError("min_lines must be 1 or more")
+    levels: list[tuple[int, Saved]] = []
+    level, depth = intervals(lines, "line-1"), 1
+    while level is not None:
+        levels.append((depth, level))
+        if depth < min_lines < 2 * depth:
+            exact = intervals(_ahead(level.rows, min_lines - depth), f"line-{min_lines}")
+            if exact is not None:
+                levels.append((min_lines, exact))
+        level, depth = intervals(_ahead(level.rows, depth), f"line-{2 * depth}"), 2 * depth
+    return levels
+
+
+def copied(levels: list[tuple[int, Saved]], min_lines: int = MIN_LINES) -> DataFrame | None:
+    """(ld_key, ld_text, line, lines, first): per suffix that is a later copy, the depth of its deepest interval in which
+    it is one, and that interval's first suffix; None if no block of min_lines lines repeats."""
+    later = [x.rows.filter(F.col("first") < F.struct(*SUFFIX)).select(*SUFFIX, F.struct(F.lit(d).alias("lines"), "first").alias("deepest")) for d, x in levels if d >= min_lines]
+    if not later:
+        return None
+    every = later[0]
+    for x in later[1:]:
+        every = every.union(x)
+    return every.groupBy(*SUFFIX).agg(F.max_by("deepest", "deepest.lines").alias("deepest")).select(*SUFFIX, "deepest.lines", "deepest.first")
+
+
+def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame | None:
+    """Per document of line_ids with copied lines: ld_key, ld_text, ld_runs (array of (a, b), lines among those with a word, both
+    included, in order), ld_lines_copied (lines of its deepest block) and ld_source (id of that block's first document).
+
+    Runs overlap in a line exactly where a block holds both its neighbours. None if no line run repeats.
+    """
+    levels = suffix_array(lines, min_lines)
+    found = copied(levels, min_lines)
+    if found is None:
+        return None
+    document = Window.partitionBy("ld_key", "ld_text").orderBy("line")
+    reach = F.max(F.col("line") + F.col("lines")).over(document.rowsBetween(Window.unboundedPreceding, -1))
+    wider = found.withColumn("reach", F.coalesce(reach, F.lit(0))).filter("line + lines > reach")  # a block inside another one adds nothing
+    run = F.struct(F.when(F.col("line") < F.col("reach"), F.col("reach") - 1).otherwise(F.col("line")).alias("a"), (F.col("line") + F.col("lines") - 1).alias("b"))
+    deepest = F.max_by(F.col("first.ld_key"), F.struct("lines", (-F.col("line")).alias("minus")))
+    cuts = wider.groupBy("ld_key", "ld_text").agg(F.array_sort(F.collect_list(run)).alias("ld_runs"), F.max("lines").alias("ld_lines_copied"), deepest.alias("ld_source"))
+    done = saved(cuts, "line-cuts").rows
+    for _, level in levels:
+        level.drop()
+    return done
+
+
+def _cut(text: Column, runs: Column) -> Column:
+    """Sorted array of the line numbers that go: of each run, from its first to its last line."""
+    at = lambda w, i: F.get(w, i)["at"]
+    return let(_worded(text), lambda w: F.array_sort(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(at(w, r["a"]), at(w, r["b"])))))))
+
+
+def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """df with later copies of repeated line runs deleted from its text, plus ld_lines (lines before), ld_cut (sorted
+    numbers of the deleted ones), ld_lines_copied (lines of its deepest copied block, 0 if none) and ld_source (id of the
+    document that has that block first, as text)."""
     base = df.drop(*[c for c in df.columns if c.startswith("ld_")])
-    cut = later_copies(suffix_array(base, key, text, min_words))
-    at = lambda rows: base[key].eqNullSafe(rows["ld_key"]) & (F.xxhash64(base[text]) == rows["ld_text"])
-    names = base.filter(F.col(text).isNotNull()).select(F.col(key).alias("ld_key"), F.xxhash64(text).alias("ld_text"))
-    again = checkpoint(names.groupBy("ld_key", "ld_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ld_key", "ld_text"))
-    if again.isEmpty():
-        joined = base.join(cut, at(cut), "left")
+    columns = [F.col(f"`{c}`") for c in base.columns]
+    start = saved(line_ids(base, key, text), "line-ids")
+    again = saved(start.rows.filter("line = 0").groupBy("ld_key", "ld_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ld_key", F.col("ld_text").alias("ld_hash")), "line-again").rows
+    repeats = not again.isEmpty()  # rows with equal id and text: their lines count once
+    runs = later_copies(start.rows.dropDuplicates(list(SUFFIX)) if repeats else start.rows, min_lines)
+    start.drop()
+    none = {"ld_runs": F.array().cast("array<struct<a:int,b:int>>"), "ld_lines_copied": F.lit(0), "ld_source": F.lit(None).cast("string")}
+    if runs is None:
+        joined = base.withColumns(none)
     else:
-        alone = base.join(again, at(again), "left_anti")
-        same = base.join(again, at(again), "left_semi").withColumn("ld_text", F.xxhash64(text))
-        order = Window.partitionBy(key, "ld_text").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in base.columns]))
-        numbered = same.withColumn("ld_n", F.row_number().over(order))
-        whole = F.when(F.col("ld_n") > 1, _whole(F.split(F.col(text), "\n"), min_words))
-        others = numbered.withColumnRenamed("ld_text", "ld_own").join(cut, numbered[key].eqNullSafe(cut["ld_key"]) & (F.col("ld_own") == cut["ld_text"]), "left")
-        columns = [F.col(f"`{c}`") for c in base.columns]
-        joined = alone.join(cut, at(cut), "left").select(*columns, "ld_cut").union(others.select(*columns, F.coalesce(whole, "ld_cut").alias("ld_cut")))
+        at = base[key].eqNullSafe(runs["ld_key"]) & (F.xxhash64(base[text]) == runs["ld_text"])
+        joined = base.join(runs.withColumn("ld_source", F.col("ld_source").cast("string")), at, "left").select(*columns, *none)
+    named = joined.withColumn("ld_text", F.xxhash64(text))
+    copy = F.lit(False)
+    if repeats:  # all but one of them go as a whole
+        same = named[key].eqNullSafe(again["ld_key"]) & (named["ld_text"] == again["ld_hash"])
+        order = Window.partitionBy(key, "ld_text").orderBy(F.xxhash64(*columns))
+        repeated = named.join(again, same, "left_semi").withColumn("ld_nth", F.row_number().over(order))
+        named = named.join(again, same, "left_anti").withColumn("ld_nth", F.lit(1)).unionByName(repeated)
+        copy = F.col("ld_nth") > 1
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.size(_worded(F.col(text))) - 1).alias("b")))
+    chosen = F.when(copy, F.when(F.size(_worded(F.col(text))) >= min_lines, whole)).otherwise(F.col("ld_runs"))
+    empty = F.array().cast("array<int>")
+    cut = F.when(F.size(chosen) > 0, _cut(F.col(text), chosen)).otherwise(empty)
+    marked = named.withColumn("ld_cut", F.coalesce(cut, empty))
     lines = F.split(F.col(text), "\n")
     left = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("ld_cut")), lambda i: F.get(ls, i)))
-    kept = F.when(F.col("ld_cut").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    kept = F.when(F.size("ld_cut") == 0, F.col(text)).otherwise(F.array_join(left, "\n"))
     others = [kept.alias(text) if c == text else F.col(f"`{c}`") for c in base.columns]
-    empty = F.array().cast("array<int>")
-    return joined.select(*others, F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("ld_lines"), F.coalesce("ld_cut", empty).alias("ld_cut"))
+    count = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+    return marked.select(*others, count.alias("ld_lines"), "ld_cut", F.coalesce("ld_lines_copied", F.lit(0)).alias("ld_lines_copied"), "ld_source")
 
 
 def runs(cut: Column) -> Column:
@@ -151,8 +186,8 @@ def runs(cut: Column) -> Column:
     return let(cut, lambda c: F.array_join(F.zip_with(*edges(c), lambda a, b: F.concat_ws("-", a, b)), ","))
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """df with later copies of line runs deleted, without the documents of which nothing but blanks is left by that."""
-    done = line_dedup(df, key, text, min_words)
+    done = line_dedup(df, key, text, min_lines)
     bare = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "")) == 0
     return done.filter(~((F.size("ld_cut") > 0) & bare)).select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("ld_")])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .licenses import SHINGLE, TEMPLATES, need, plain
-from .linededup import MIN_WORDS
 from .mixing import MIX_WEIGHTS, OTHERS
 from .quality import RULES, STOP_WORDS
 from .substring import WINDOW
@@ -41,23 +40,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   array_to_string(failed, ',') AS failed_rules FROM f"""
 
 
-def _op6(min_words: int = MIN_WORDS) -> str:
-    """Blocks written out as text, one row for each start and each end; the first of equal ones stays."""
+def _op6(depth: int = 15) -> str:
+    """A line goes if an equal one stands earlier; blank lines go between two that an equal pair precedes. Blocks of 2^k
+    lines, for k up to `depth`, beyond any document's here, are ranked by the ranks of their halves."""
+    levels = ["b0 AS MATERIALIZED (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS source FROM (SELECT *, dense_rank() OVER (ORDER BY line) AS r FROM ln) WINDOW w AS (PARTITION BY r ORDER BY doc_id, i))"]
+    for k in range(1, depth + 1):
+        pairs = f"SELECT x.doc_id, x.i, dense_rank() OVER (ORDER BY x.r, y.r) AS r FROM b{k - 1} x JOIN b{k - 1} y ON y.doc_id = x.doc_id AND y.i = x.i + {1 << k - 1}"
+        levels.append(f"b{k} AS MATERIALIZED (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS source FROM ({pairs}) WINDOW w AS (PARTITION BY r ORDER BY doc_id, i))")
+    deep = " UNION ALL ".join(f"SELECT doc_id, i, {1 << k} AS lines, source FROM b{k} WHERE nth > 1" for k in range(depth + 1))
     return rf"""
-WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln_no FROM documents),
-ln AS (SELECT doc_id, line, ln_no, w, row_number() OVER (PARTITION BY doc_id ORDER BY ln_no) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY ln_no) AS total
-  FROM (SELECT *, len(list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda x: x <> '')) AS w FROM raw) WHERE w > 0),
-fw AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {min_words} AND b.total - a.total + a.w >= {min_words} GROUP BY 1, 2),
-bw AS (SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND a.i BETWEEN b.i - {min_words} AND b.i AND b.total - a.total + a.w >= {min_words} GROUP BY b.doc_id, b.i),
-blocks AS (SELECT x.doc_id, s, min(ln_no) AS start, max(ln_no) AS stop, string_agg(line, chr(10) ORDER BY i) AS body FROM (SELECT * FROM fw UNION SELECT * FROM bw) x JOIN ln ON ln.doc_id = x.doc_id AND ln.i BETWEEN s AND e GROUP BY x.doc_id, s, e),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS r FROM blocks),
-cut AS (SELECT DISTINCT f.doc_id, raw.ln_no FROM firsts f JOIN raw ON raw.doc_id = f.doc_id AND raw.ln_no BETWEEN f.start AND f.stop WHERE r > 1),
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln_no FROM documents),
+ln AS (SELECT doc_id, line, ln_no, row_number() OVER (PARTITION BY doc_id ORDER BY ln_no) AS i FROM raw WHERE regexp_matches(line, '[^ 	-
+]')),
+{", ".join(levels)},
+cut AS (SELECT doc_id, ln_no FROM b0 WHERE nth > 1 UNION
+  SELECT p.doc_id, raw.ln_no FROM b1 p JOIN ln x ON x.doc_id = p.doc_id AND x.i = p.i JOIN ln y ON y.doc_id = p.doc_id AND y.i = p.i + 1 JOIN raw ON raw.doc_id = p.doc_id AND raw.ln_no > x.ln_no AND raw.ln_no < y.ln_no WHERE p.nth > 1),
 isl AS (SELECT doc_id, min(ln_no) AS a, max(ln_no) AS b FROM (SELECT doc_id, ln_no, ln_no - row_number() OVER (PARTITION BY doc_id ORDER BY ln_no) AS g FROM cut) GROUP BY doc_id, g),
 rn AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS removed_runs, sum(b - a + 1) AS n FROM isl GROUP BY doc_id),
-kp AS (SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.ln_no) AS body FROM raw WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.doc_id = raw.doc_id AND cut.ln_no = raw.ln_no) GROUP BY raw.doc_id)
+dp AS (SELECT doc_id, max(lines) AS longest_block, arg_max(source, lines * 1000000 - i) AS source_doc FROM ({deep}) GROUP BY doc_id),
+kp AS (SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.ln_no) AS body FROM raw ANTI JOIN cut ON cut.doc_id = raw.doc_id AND cut.ln_no = raw.ln_no GROUP BY raw.doc_id)
 SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(rn.n, 0) AS BIGINT) AS n_removed,
-  coalesce(rn.removed_runs, '') AS removed_runs, sha256(coalesce(kp.body, '')) AS kept_sha256
-FROM documents d LEFT JOIN rn ON rn.doc_id = d.doc_id LEFT JOIN kp ON kp.doc_id = d.doc_id"""
+  coalesce(rn.removed_runs, '') AS removed_runs, CAST(coalesce(dp.longest_block, 0) AS BIGINT) AS longest_block, dp.source_doc, sha256(coalesce(kp.body, '')) AS kept_sha256
+FROM documents d LEFT JOIN rn ON rn.doc_id = d.doc_id LEFT JOIN dp ON dp.doc_id = d.doc_id LEFT JOIN kp ON kp.doc_id = d.doc_id"""
 
 
 def _op3(window: int = WINDOW) -> str:

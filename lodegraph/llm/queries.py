@@ -48,9 +48,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), min_words=linededup.EVERY_LINE)
+    done = linededup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return done.select("doc_id", F.col("ld_lines").cast("long").alias("n_lines"), F.size("ld_cut").cast("long").alias("n_removed"), linededup.runs(F.col("ld_cut")).alias("removed_runs"), kept.alias("kept_sha256"))
+    return done.select("doc_id", F.col("ld_lines").cast("long").alias("n_lines"), F.size("ld_cut").cast("long").alias("n_removed"), linededup.runs(F.col("ld_cut")).alias("removed_runs"), F.col("ld_lines_copied").cast("long").alias("longest_block"), F.col("ld_source").cast("long").alias("source_doc"), kept.alias("kept_sha256"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

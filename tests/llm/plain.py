@@ -73,39 +73,26 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
 
 
-def line_cuts(docs, least=10):
-    """Per document, the set of line numbers that line dedup deletes."""
-    ordered = sorted(enumerate(docs), key=lambda d: (d[1][0] is not None, d[1][0] or 0))
-    blocks = []
-    for n, (key, text) in ordered:
-        lines = [(i, x, len(words(x))) for i, x in enumerate((text or "").split("\n")) if words(x)]
-        spans = set()
-        for s in range(len(lines)):
-            total = 0
-            for e in range(s, len(lines)):
-                total += lines[e][2]
-                if total >= least:
-                    spans.add((s, e))
-                    break
-        for e in range(len(lines)):
-            total = 0
-            for s in range(e, -1, -1):
-                total += lines[s][2]
-                if total >= least:
-                    spans.add((s, e))
-                    break
-        blocks += [(tuple(x for _, x, _ in lines[s : e + 1]), n, lines[s][0], lines[e][0]) for s, e in spans]
-    place = {n: (key is not None, key or 0, text) for n, (key, text) in enumerate(docs)}
-    firsts = {}
-    for body, n, s, _ in blocks:
-        firsts[body] = min(firsts.get(body, (place[n], s)), (place[n], s))
+def line_cuts(docs, least=1):
+    """Per document, the set of line numbers that line dedup deletes: those of every run of `least` lines with a word
+    that also begins earlier, and the blank ones between two neighbours of such a run of two lines or more."""
+    place = lambda key, text, i: (key is not None, key or 0, text, i)
+    lines = [[(n, x) for n, x in enumerate((text or "").split("\n")) if words(x)] for _, text in docs]
     cuts = [set() for _ in docs]
-    for body, n, s, e in blocks:
-        if (place[n], s) != firsts[body]:
-            cuts[n] |= set(range(s, e + 1))
+    for size in {least, max(least, 2)}:
+        first = {}
+        runs = [(tuple(x for _, x in own[i : i + size]), d, i) for d, own in enumerate(lines) for i in range(len(own) - size + 1)]
+        for body, d, i in runs:
+            first[body] = min(first.get(body, place(*docs[d], i)), place(*docs[d], i))
+        for body, d, i in runs:
+            if place(*docs[d], i) != first[body]:
+                numbers = [n for n, _ in lines[d][i : i + size]]
+                cuts[d] |= set(numbers) if size == 1 else set(range(numbers[0], numbers[-1] + 1))
     return cuts
 
 
+
+
 def fingerprint(text, width=4):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not w:

@@ -139,14 +139,63 @@ def test_line_dedup(docs, rows, none, odd):
     assert linededup.deduplicated(docs).columns == [c for c in docs.columns if c != "ld_cut"]
 
 
-@pytest.mark.parametrize("least", [1, 3, 17])
-def test_line_dedup_lengths(spark, least):
+@pytest.mark.parametrize(("least", "spread"), [(1, False), (3, True), (4, False)])
+def test_line_dedup_lengths(spark, monkeypatch, least, spread):
+    if spread:  # ranks by range, names shuffled to their suffixes
+        monkeypatch.setattr(linededup, "PART_ROWS", 1)
+        monkeypatch.setattr(linededup, "BROADCAST_ROWS", 1)
     r = random.Random(least)
-    rows = [(i, "\n".join(r.choice(["a", "b c", "d e f", "", "g h i j k l m n"]) for _ in range(r.randint(0, 40)))) for i in range(40)]
-    got = {x["doc_id"]: set(x["ld_cut"]) for x in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()}
+    rows = [(i, "\n".join(r.choice(["a", "b c", "d e f", "", " ", "g h i j k l m n"]) for _ in range(r.randint(0, 40)))) for i in range(40)]
+    rows += [(50, rows[7][1]), (51, rows[7][1] + "\nz\n\n" + rows[8][1])]
+    got = {x["doc_id"]: set(x["ld_cut"]) for x in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=least).collect()}
     assert [got[i] for i, _ in rows] == plain.line_cuts(rows, least)
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_suffix_array_against_a_sorted_list(spark, monkeypatch, spread):
+    """Ranks and sizes of the intervals at every depth are those of the sorted list of suffixes."""
+    if spread:
+        monkeypatch.setattr(linededup, "PART_ROWS", 1)
+        monkeypatch.setattr(linededup, "BROADCAST_ROWS", 1)
+    r = random.Random(5)
+    rows = [[r.choice("abcde") for _ in range(r.randint(1, 12))] for _ in range(25)] + [list("abcdeabcdeabcdeabc")] * 2
+    df = spark.createDataFrame([(n, "\n".join(x)) for n, x in enumerate(rows)], "doc_id long, text string")
+    ids = linededup.line_ids(df)
+    order = {x["line"]: (x["a"], x["b"]) for x in df.select(F.explode(F.split("text", "\n")).alias("line")).distinct().select("line", F.xxhash64("line").alias("a"), F.hash("line").cast("bigint").alias("b")).collect()}
+    levels = linededup.suffix_array(ids, 3)
+    assert [d for d, _ in levels] == [1, 2, 3, 4, 8, 16]
+    for depth, level in levels:
+        blocks = {}
+        for d, x in enumerate(rows):
+            for i in range(len(x) - depth + 1):
+                blocks.setdefault(tuple(order[c] for c in x[i : i + depth]), []).append((d, i))
+        repeated = {b: s for b, s in blocks.items() if len(s) > 1}
+        got = {(x["ld_key"], x["line"]): (x["rank"], x["n"], x["first"]["ld_key"], x["first"]["line"]) for x in level.rows.collect()}
+        by_rank = sorted((got[s[0]][0], b) for b, s in repeated.items())
+        assert set(got) == {p for s in repeated.values() for p in s}
+        at = 0
+        for rank, b in by_rank:
+            assert {got[p] for p in repeated[b]} == {(at, len(repeated[b]), *min(repeated[b]))} and rank == at
+            at += len(repeated[b])
+        if depth & (depth - 1) == 0:  # halves in order: lexicographic among blocks whose halves repeat
+            assert [b for _, b in by_rank] == sorted(repeated)
+
+
+def test_copied_blocks_and_their_source(spark):
+    a, b, c = (["%s %d" % (x, i) for i in range(20)] for x in "abc")
+    rows = [(1, a), (2, b), (3, c[:3] + a[4:15] + c[3:5] + b[1:6]), (4, b[:3] + ["new"] + a[:2]), (5, ["own"])]
+    df = spark.createDataFrame([(n, "\n".join(x)) for n, x in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["ld_lines_copied"], r["ld_source"], r["text"].split("\n")) for r in linededup.line_dedup(df).collect()}
+    assert got == {1: (0, None, a), 2: (0, None, b), 3: (8, "1", c[:5]), 4: (2, "2", ["new"]), 5: (0, None, ["own"])}
+
+
+def test_line_dedup_of_a_very_long_document(spark):
+    body = "\n".join(f"row {i} {i * i % 97}" for i in range(100_000))
+    df = spark.createDataFrame([(1, body), (2, body + "\nlast"), (3, "\n".join(["same"] * 50_000))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n"], r["text"][-9:]) for r in linededup.line_dedup(df).select("doc_id", F.size("ld_cut").alias("n"), "text").collect()}
+    assert got == {1: (0, body[-9:]), 2: (100_000, "last"), 3: (49_999, "same")}
+
+
 def test_runs(spark):
     df = spark.createDataFrame([([1, 2, 3, 7, 9, 10],), ([],)], "c array<int>")
     assert [r[0] for r in df.select(linededup.runs(F.col("c"))).collect()] == ["1-3,7-7,9-10", ""]
