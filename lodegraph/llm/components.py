@@ -1,25 +1,32 @@
-"""Connected components of a link table by alternating large and small stars, every round on a reliable checkpoint."""
+"""Connected components of a link table by alternating large and small stars, every round on a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import saved, spread_join
 
+#: Links up to which a hub needs no care: a task that holds all of them is small.
+FEW_LINKS = 50_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _joined(rows: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    """rows with the least neighbour m of their a; hubs, which later rounds make of labels, aren't dealt to one task."""
+    return rows.join(least.drop("n"), "a") if few else spread_join(rows, least, ["a"], "n")
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Links each node's larger neighbours to the least of its neighbours and itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _joined(both.filter("b > a"), least, few).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Links each node and its smaller neighbours to the least of them. Edges have a > b."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _joined(edges, least, few).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -29,13 +36,23 @@ def components(links: DataFrame) -> DataFrame:
     Null ends and self-links are dropped; repeated links do no harm; no links give an empty table. Rounds grow with the
     logarithm of the component size, and what a round moves is at most twice the links.
     """
-    edges = checkpoint(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        edges = checkpoint(_small_star(_large_star(edges)))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    state = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    seen = state(edges.rows)
+    while seen["n"]:
+        few = seen["n"] <= FEW_LINKS
+        larger = _large_star(edges.rows, few)
+        if not few:
+            star = saved(larger, "links")
+            after = saved(_small_star(star.rows, few), "links")
+            star.drop()
+        else:
+            after = saved(_small_star(larger, few), "links")
+        edges.drop()
+        edges, now = after, state(after.rows)
         if now == seen:
             break
         seen = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)
+    found = edges.rows
+    roots = found.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return found.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)

@@ -28,7 +28,7 @@ from .common import SPACE, Saved, let, partitions, saved, spread_join
 #: Lines from which on a repeated run counts: every single one.
 MIN_LINES = 1
 #: Names that one task puts in order, and that are broadcast (some 100 bytes each) rather than shuffled to their suffixes.
-PART_ROWS, BROADCAST_ROWS = 1 << 20, 1 << 17
+PART_ROWS, BROADCAST_ROWS = 1 << 14, 1 << 15
 #: A suffix: its document (id and hash of the text) and the number of its first line among those with a word.
 SUFFIX = ("ld_key", "ld_text", "line")
 

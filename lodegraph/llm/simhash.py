@@ -1,10 +1,12 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering, then exact verification.
 
 Fingerprints at `distance` 4 or fewer differing bits share at least 4 of their 8 bytes in place, since a differing bit
-spoils one byte. A posting list for each single byte value would hold 1/256 of all fingerprints, so the tally of
-shared positional bytes is kept per set of 4 positions: a pair reaches the guaranteed count exactly if it meets under
-one of the 70 keys of 4 positional bytes. Each pair is taken once, under the first 4 positions it shares, and kept if
-its bits differ little enough. Only distinct fingerprints are indexed, so copies are never paired.
+spoils one byte. The index has a posting list for each set of 4 positional bytes (70 a fingerprint): pairs that share 4
+or more are those that meet in some list, and each is taken once, under the first 4 places it shares. There the shared
+positional bytes of the pair are tallied, pairs with the guaranteed number go on, and their differing bits are counted.
+Lists of single bytes would hold 1/256 of all fingerprints each, so tallies over them grow with the square of the rows.
+Only distinct fingerprints are indexed, so copies are never paired, and a list longer than LONG_LIST gives no pairs but
+stars: a crowd of near copies costs some 2000 rows a fingerprint, whatever its size.
 
 Null text counts as empty (fingerprint zero, linked like any other). In `classes` a null id gets a class but never
 names one. `keep_one` removes by row: of each class the least row by id, then by content stays, whatever ids repeat;
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import partitions, saved, spread_join
 from .components import components
 
 SEED = 42
 #: Shingles whose bits are unpacked at once.
 UNPACK = 1 << 16
+#: Entries of a posting list up to which all its pairs are judged.
+LONG_LIST = 1000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -75,39 +79,68 @@ def _keys(fp: Column, shared: int = 4) -> Column:
     return F.array(*keys)
 
 
+def _tally(x: Column) -> Column:
+    """Positional bytes that two fingerprints share, as a mask of 8 bits; x is what differs."""
+    return sum([F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1 << i).otherwise(0) for i in range(8)], F.lit(0))
+
+
+def _within(fps: DataFrame, radius: int) -> DataFrame:
+    """(a, b): stars that link fingerprints at up to 2 * radius bits: two are that close exactly if some number lies
+    within `radius` bits of both, so the ones near each number, at most as many as there are masks, hang on the least."""
+    masks = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(64), n)]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks])
+    spark = fps.sparkSession
+    table = F.broadcast(spark.range(1).select(F.explode(signed).alias("mask")))  # some 2000 rows
+    near = fps.join(table).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"))
+    groups = near.groupBy("centre").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    stars = groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
+    return stars.filter("a < b").distinct()
+
+
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints in column fp that differ in at most `distance` (up to 4) bits, each once."""
+    """Pairs (a, b), a < b, of distinct fingerprints in column fp that differ in at most `distance` (up to 4) bits.
+
+    Every such pair of which a posting list with at most LONG_LIST entries tells, each once; the entries of longer lists
+    are linked by stars, so that as many as there are in one list never meet in pairs.
+    """
     if not 0 <= distance <= 4:
         raise ValueError("distance must be from 0 to 4")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(fps.sparkSession)
     spread = fps.select("fp").distinct().repartition(parts, F.xxhash64("fp"))  # few bytes, but 70 keys each: not to be coalesced
     keyed = spread.select("fp", F.explode(_keys(F.col("fp"))).alias("k"))
-    shared = keyed.groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("k")
-    index = checkpoint(keyed.join(shared, "k", "left_semi"))  # small: keys with two fingerprints or more
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    index = saved(keyed.join(shared, "k"), "simhash-index").rows  # posting lists of two entries or more
     x = F.col("a").bitwiseXOR(F.col("b"))
-    same = sum([F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1 << i).otherwise(0) for i in range(8)], F.lit(0))
     chosen = F.shiftright("k", 32).cast("int")
     upto = chosen
     for s in (1, 2, 4):
         upto = upto.bitwiseOR(F.shiftright(upto, s))  # all positions up to the last chosen one
-    first = same.bitwiseAND(upto) == chosen
-    left, right = index.select("k", F.col("fp").alias("a")), index.select(F.col("k").alias("k2"), F.col("fp").alias("b"))
-    return left.join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance) & first).select("a", "b")
+    short = index.filter(F.col("n") <= LONG_LIST)
+    left, right = short.select("k", F.col("fp").alias("a")), short.select(F.col("k").alias("k2"), F.col("fp").alias("b"))
+    met = left.join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b"))).withColumn("tally", _tally(x))
+    counted = met.filter((F.bit_count("tally") >= 8 - distance) & (F.col("tally").bitwiseAND(upto) == chosen))  # once, at the first 4 shared places
+    pairs = counted.filter(F.bit_count(x) <= distance).select("a", "b")
+    crowd = saved(index.filter(F.col("n") > LONG_LIST).select("fp").distinct(), "simhash-crowd").rows
+    if crowd.isEmpty():
+        return pairs
+    stars = _within(crowd, distance // 2) if distance % 2 == 0 else _within(crowd, (distance + 1) // 2).filter(F.bit_count(x) <= distance)
+    return pairs.union(stars)
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """(key, fp, component_id): component_id is the least key among the rows that links reach, the row's own included."""
-    return _classed(checkpoint(fingerprints(df, key, text, width)), distance)
+    return _classed(saved(fingerprints(df, key, text, width), "simhash").rows, distance)
 
 
 def _classed(fps: DataFrame, distance: int) -> DataFrame:
-    """(key, fp, component_id) of fps(key, fp)."""
-    nodes = fps.groupBy("fp").agg(F.min("key").alias("least"))
-    labels = components(links(fps, distance))
-    labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(ids, "label").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("key", "fp", "component_id")
+    """(key, fp, component_id) of fps(key, fp). Copies of a text and members of a class may be any share of the rows."""
+    nodes = saved(fps.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-nodes").rows
+    labels = components(links(nodes, distance))
+    labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", "copies", F.coalesce("label", "fp").alias("label"))
+    labelled = saved(labelled, "simhash-labels").rows
+    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    by_fp = spread_join(labelled.select("fp", "copies", "label"), ids, ["label"], "members").select("fp", "copies", "component_id")
+    return spread_join(fps, by_fp, ["fp"], "copies").select("key", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -115,9 +148,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     cols = [df[f"`{c}`"] for c in df.columns]
     nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])  # hashes skip nulls
     x, y = F.xxhash64(nulls, *cols), F.hash(nulls, *cols)
-    found = _classed(checkpoint(fingerprints(df, key, text, width, F.struct(df[key].alias("id"), x.alias("x"), y.alias("y")))), distance)
+    found = _classed(saved(fingerprints(df, key, text, width, F.struct(df[key].alias("id"), x.alias("x"), y.alias("y"))), "simhash").rows, distance)
     rows = found.groupBy("key.x", "key.y").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.expr("key = component_id")).alias("least"))
-    special = checkpoint(rows.filter("NOT least OR n > 1").select(F.col("x").alias("x_"), F.col("y").alias("y_"), "least"))
+    special = saved(rows.filter("NOT least OR n > 1").select(F.col("x").alias("x_"), F.col("y").alias("y_"), "least"), "simhash-special").rows
     named = lambda s: (x == s["x_"]) & (y == s["y_"])
     kept = df.join(special, named(special), "left_anti")
     repeated = special.filter("least")

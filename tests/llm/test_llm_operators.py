@@ -404,3 +404,37 @@ def test_tree_prunes():
     assert sorted(tree.order.tolist()) == ids.tolist()
     for n, (a, b) in enumerate(tree.span):
         assert np.sqrt(((points[tree.order[a:b]] - tree.centre[n]) ** 2).sum(axis=1)).max() <= tree.radius[n] + 1e-9
+
+
+def test_simhash_crowd(spark, monkeypatch):
+    """Near copies without end: links grow with the fingerprints, not with their pairs, and lose no class."""
+    monkeypatch.setattr(simhash, "LONG_LIST", 200)
+    r = random.Random(9)
+    centre = r.getrandbits(64)
+    prints = {centre ^ sum(1 << b for b in r.sample(range(64), r.choice((1, 2, 2, 3)))) for _ in range(6000)} | {~centre & ((1 << 64) - 1)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in prints)
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "key long, fp long").repartition(4)
+    assert len(prints) < simhash.links(df).count() < 400 * len(prints)
+    got = {x["fp"] & (1 << 64) - 1: x["component_id"] for x in simhash._classed(df, 4).collect()}
+    apart = got.pop(~centre & ((1 << 64) - 1))
+    assert set(got.values()) == {0 if apart else 1}
+
+
+def test_simhash_long_lists_as_stars(spark, monkeypatch):
+    r = random.Random(2)
+    centres = [r.getrandbits(64) for _ in range(3)]
+    prints = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for c in centres for _ in range(120)})
+    rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(prints)]
+    want = plain.classes(list(enumerate(prints)))
+    for limit in (1, 20):
+        monkeypatch.setattr(simhash, "LONG_LIST", limit)
+        for distance in (4, 3):
+            got = {x["key"]: x["component_id"] for x in simhash._classed(spark.createDataFrame(rows, "key long, fp long"), distance).collect()}
+            assert [got[i] for i in range(len(rows))] == (want if distance == 4 else plain.classes(list(enumerate(prints)), distance))
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW_LINKS", 1)
+    links = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(20)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(400)} | {500 + i: 500 for i in range(21)}
