@@ -56,14 +56,6 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    return saved(df, "held").rows
-
-
-def release(spark: SparkSession) -> None:
-    pass
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when the application ends."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -88,12 +80,12 @@ class Saved(NamedTuple):
         deleted(self.rows.sparkSession, self.path)
 
 
-def saved(df: DataFrame, name: str) -> Saved:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> Saved:
     """df as a Parquet table in the shared folder; shuffle files of its making go at once."""
     spark = df.sparkSession
     path = scratch(spark, name)
     with shuffle_files_deleted(spark):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return Saved(spark.read.schema(df.schema).parquet(path), path)
 
 

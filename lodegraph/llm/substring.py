@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpoint, release, slices
+from .common import Words, partitions, saved, slices
 
 WINDOW = 20
 #: Text of a unit, and the compressed text (some two bytes a word) whose hashes one place, so one task, should hold.
@@ -83,9 +83,8 @@ def _units(df: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([some.num_rows], pa.int64())], ["unit", "rows", "n"])
                 n += 1
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text").mapInArrow(run, "unit long, rows binary, n long")
+    return rows.repartitionByRange(partitions(df.sparkSession), "key").sortWithinPartitions("key", "text").mapInArrow(run, "unit long, rows binary, n long")
 
 
 def _opened(blob: bytes) -> pa.Table:
@@ -166,10 +165,8 @@ def repeats_removed(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     """
     if window < 2:
         raise ValueError("window must be 2 or more")
-    spark = df.sparkSession
     block = window // 2
-    units = checkpoint(_units(df, key, text))
-    release(spark)
+    units = saved(_units(df, key, text), "units", "none").rows  # compressed already
     compressed = units.agg(F.sum(F.length("rows"))).first()[0] or 0
     count = max(1, int(compressed // PLACE_BYTES))
 
@@ -202,9 +199,7 @@ def repeats_removed(df: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     slim = units.select("unit", "rows")
     probed = slim.mapInArrow(probes, "place int, unit long, hashes binary, reference binary, twice binary")
-    hits = checkpoint(probed.groupBy("place").applyInArrow(matched, "unit long, place int, bits binary"))
-    del probed
-    release(spark)
+    hits = saved(probed.groupBy("place").applyInArrow(matched, "unit long, place int, bits binary"), "hits").rows
 
     def candidates_of(table: pa.Table, bits: pa.Table) -> tuple[Unit, Windows]:
         unit = Unit(_texts(table))
@@ -242,9 +237,7 @@ def repeats_removed(df: DataFrame, key: str = "doc_id", text: str = "text", wind
         return pa.table({"unit": t["unit"], "place": t["place"], "bits": pa.array(bits, pa.binary())})
 
     found = slim.groupBy("unit").cogroup(hits.groupBy("unit")).applyInArrow(candidates, "place int, unit long, first binary, second binary")
-    first_seen = checkpoint(found.groupBy("place").applyInArrow(earliest, "unit long, place int, bits binary"))
-    del found
-    release(spark)
+    first_seen = saved(found.groupBy("place").applyInArrow(earliest, "unit long, place int, bits binary"), "first-seen").rows
 
     def left_over(left: pa.Table, right: pa.Table) -> pa.Table:
         made: list[pa.Table] = []
