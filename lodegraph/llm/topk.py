@@ -1,9 +1,11 @@
 """Exact top-k by inner product: ball trees per shard, searched best first by an upper bound, sharing the k-th score.
 
-Vectors are scaled to integers: floor(scale * x) per component. Each shard of candidates gets a ball tree (bounded rows
-per leaf); a block of queries visits its nodes in the order of the bound q.c + |q| r, and leaves a node out for every
-query whose k-th result so far can't be beaten there. A first round searches one shard per block of queries; the k-th
-score it finds goes with the queries to all other shards.
+Vectors are scaled to integers: floor(scale * x) per component. Each shard of candidates gets a ball tree once (bounded
+rows per leaf). Queries come to the shards, in three waves: each to one shard, then to about the square root of their
+number, then to all others. A task reads a shard's tree, then its queries batch by batch, so what it holds is a tree and
+a batch; queries visit the nodes in the order of the bound q.c + |q| r, and leave a node out where their k-th result so
+far can't be beaten there. Between waves the best results of all shards are merged, and the next wave starts from their
+k-th score. A tree is shuffled once a wave; vectors that ask, once for each shard, which is the stated work.
 
 Vectors that are null, or hold null or non-finite components, and rows with null id take no part. Vectors score only
 against vectors of their own length. Ties go to the smaller id; a node is left out at an equal bound only if all its
@@ -14,18 +16,21 @@ held at the largest or smallest long. Extra columns don't matter; an empty table
 from __future__ import annotations
 
 import heapq
+import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import partitions, saved
 
 LEAF = 256
-#: Rows of a shard and queries of a block: the most that one task holds.
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+#: Rows of a shard, on average.
+SHARD_ROWS = 8192
 #: Queries that walk a tree together.
 GROUP = 256
 NONE = np.iinfo(np.int64).min
@@ -37,16 +42,16 @@ def scaled(df: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, dims, packed = [], [], []
-            for i, v in zip(b.column(0), b.column(1)):
-                if i.as_py() is None or v.as_py() is None:
-                    continue
-                x = np.array(v.as_py(), dtype=np.float64)  # null components become nan
-                if np.isfinite(x).all():
-                    ids.append(i.as_py())
-                    dims.append(len(x))
-                    packed.append(np.floor(scale * x).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], ["id", "dim", "v"])
+            lists = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(lists.flatten(), np.nan).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            spoilt = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+            usable = (spoilt[ends] == spoilt[ends - sizes]) & pc.and_(pc.is_valid(lists), pc.is_valid(b.column(0))).to_numpy(zero_copy_only=False)
+            raw = np.floor(scale * flat).astype("<f8").tobytes()
+            rows = np.flatnonzero(usable)
+            packed = [raw[8 * (e - n) : 8 * e] for e, n in zip(ends[rows].tolist(), sizes[rows].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(sizes[rows], pa.int32()), pa.array(packed, pa.binary())], ["id", "dim", "v"])
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "id long, dim int, v binary")
 
@@ -83,6 +88,30 @@ class Tree:
         self.radius = np.array(self.radius)
 
 
+def packed(tree: Tree, points: np.ndarray, ids: np.ndarray) -> bytes:
+    """A tree with its rows, in the order of its leaves."""
+    sink = io.BytesIO()
+    children = np.array([c or [-1, -1] for c in tree.children], np.int64)
+    np.savez(sink, points=points[tree.order], ids=ids[tree.order], centre=tree.centre, radius=tree.radius, least=np.array(tree.least, np.int64), span=np.array(tree.span, np.int64), children=children)
+    return sink.getvalue()
+
+
+def unpacked(blob: bytes) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """(tree, points, ids) of `packed`."""
+    with np.load(io.BytesIO(blob)) as held:
+        tree = Tree.__new__(Tree)
+        tree.centre, tree.radius, tree.least = held["centre"], held["radius"], held["least"].tolist()
+        tree.span = [tuple(x) for x in held["span"].tolist()]
+        tree.children = [c if c[0] >= 0 else [] for c in held["children"].tolist()]
+        points, ids = held["points"], held["ids"]
+    tree.order = np.arange(len(ids))
+    return tree, points, ids
+
+
+def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors.to_pylist()), "<f8").reshape(len(vectors), dim)
+
+
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products of rows of integral doubles, as int64."""
     if not q.size or not c.size:
@@ -143,42 +172,70 @@ def search(tree: Tree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray,
     return best, best_id
 
 
-def _searched(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) per block of queries and shard; both have dim, block and shard, queries a floor."""
-    schema = "query_id long, vec_id long, score long"
+def _trees(points: DataFrame) -> DataFrame:
+    """(dim, shard, tree) of points(id, dim, v, shard), each shard's rows in one task."""
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        c, ids = matrix(t["v"], t["dim"][0].as_py()), t["id"].to_numpy()
+        return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1], "tree": pa.array([packed(Tree(c, ids), c, ids)], pa.binary())})
+
+    return points.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary")
+
+
+def _searched(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k of a shard for each row of asked(id, dim, v, floor_score, floor_id, shard)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, None
+        for b in batches:
+            dims, shards, queries = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(shards) != 0) | (np.diff(queries) != 0)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(dims)]):
+                place = (int(dims[a]), int(shards[a])) if a < z else None
+                if a == z or not queries[a]:
+                    held, at = (unpacked(b.column(3)[a].as_py()), place) if a < z else (held, at)
+                    continue
+                if at != place:
+                    continue  # no vector of that length in the shard
+                own = b.slice(a, z - a)
+                ids = own.column(4).to_numpy(zero_copy_only=False)
+                scores, found = search(*held, matrix(own.column(3), place[0]), ids, k, *(own.column(i).to_numpy(zero_copy_only=False) for i in (5, 6)))
+                hit = scores != NONE
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, hit.sum(axis=1))), pa.array(found[hit]), pa.array(scores[hit])], ["query_id", "vec_id", "score"])
+
+    none = F.lit(0).cast("long")
+    rows = trees.select("dim", "shard", F.lit(0).alias("query"), F.col("tree").alias("v"), none.alias("id"), none.alias("floor_score"), none.alias("floor_id"))
+    every = rows.unionByName(asked.withColumn("query", F.lit(1)).select(*rows.columns))
+    dealt = every.repartition(partitions(trees.sparkSession), "dim", "shard").sortWithinPartitions("dim", "shard", "query")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
-        if not len(left) or not len(right):
-            return empty
-        matrix = lambda t: np.frombuffer(b"".join(t["v"].to_pylist()), "<f8").reshape(len(t), t["dim"][0].as_py())
-        q, c = matrix(left), matrix(right)
-        query_ids, ids = left["id"].to_numpy(), right["id"].to_numpy()
-        scores, found = search(Tree(c, ids), c, ids, q, query_ids, k, left["floor_score"].to_numpy(), left["floor_id"].to_numpy())
-        hit = scores != NONE
-        return pa.table({"query_id": np.repeat(query_ids, hit.sum(axis=1)), "vec_id": found[hit], "score": scores[hit]})
 
-    by = ("dim", "block", "shard")
-    queries, candidates = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (queries, candidates))  # both come from one table
-    return queries.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInArrow(run, schema)
+def waves(shards: int) -> list[tuple[int, int]]:
+    """Ranges of steps from a query's own shard on, wave by wave."""
+    second = 1 + math.isqrt(shards - 1)
+    return [(a, b) for a, b in ((0, 1), (1, second), (second, shards)) if a < b]
 
 
-def top_k(df: DataFrame, asks: str, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(df: DataFrame, asks: str, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row that fulfils the SQL condition `asks` on `id`."""
-    points = checkpoint(scaled(df, key, vector, scale))
+    points = saved(scaled(df, key, vector, scale), "vectors").rows
+    shards = max(1, -(-points.count() // shard_rows))
+    trees = saved(_trees(points.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))), "trees").rows
     asking = points.filter(asks).groupBy("id").agg(F.max(F.struct("dim", "v")).alias("m")).select("id", "m.dim", "m.v")
-    rows, asked = points.count(), asking.count()
-    shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-asked // block_rows))
-    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    cands = points.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    query = asking.withColumn("block", part(blocks, 1))
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    none = {"floor_score": F.lit(NONE), "floor_id": F.lit(TOP_LONG)}
-    first = checkpoint(_searched(query.withColumn("shard", home).withColumns(none), cands.filter(F.col("shard") == home), k))
-    kth = first.groupBy(F.col("query_id").alias("asked_id")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("minus"))).alias("last")).filter(F.col("n") >= k)
-    known = query.select(*[F.col(c).alias(c) for c in query.columns]).join(kth, F.col("id") == F.col("asked_id"), "left").select(
-        "id", "dim", "v", "block", F.coalesce("last.score", F.lit(NONE)).alias("floor_score"), F.coalesce(-F.col("last.minus"), F.lit(TOP_LONG)).alias("floor_id")
-    )
-    rest = _searched(known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != home), cands.filter(F.col("shard") != home), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.union(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = None
+    for first, stop in waves(shards):
+        if best is None:
+            known = asking.withColumns({"floor_score": F.lit(NONE), "floor_id": F.lit(TOP_LONG)})
+        else:
+            last = best.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor_score"), F.col("vec_id").alias("floor_id"))
+            known = asking.join(last, "id", "left").fillna({"floor_score": NONE, "floor_id": TOP_LONG})
+        steps = F.explode(F.sequence(F.lit(first), F.lit(stop - 1)))
+        asked = known.withColumn("step", steps).withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "id") + F.col("step"), F.lit(shards)).cast("int"))
+        found = _searched(trees, asked.drop("step"), k)
+        best = ranked(found if best is None else found.union(best.select("query_id", "vec_id", "score")))
+        if stop < shards:
+            best = saved(best, "best").rows
+    return best.select("query_id", "rank", "vec_id", "score")
