@@ -12,7 +12,6 @@ Null ids are kept. Extra columns don't matter. An empty table gives no pieces.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import checkpoint_dir, slices
+from .common import scratch, slices
 
 CAPACITY = 4096
 
@@ -81,7 +80,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int | None = 1, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids, part, nth), written to the shared folder.
+    """(doc_id, piece, start, length, ids, part, nth), written to the shared folder for as long as the application runs.
 
     ids: little-endian unsigned 32-bit integers. nth: the piece's number among those of its length in its part.
     """
@@ -108,7 +107,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
                 arrays = [pa.array(v, k) for v, k in zip(out[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(out[0]), pa.int32()), pa.array(out[5], pa.int64())], names)
 
-    path = f"{checkpoint_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    path = scratch(spark, "pieces")
     made = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     made.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, part int, nth long").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)

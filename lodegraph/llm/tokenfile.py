@@ -12,7 +12,6 @@ texts; null ids come first. Extra columns are not written. An empty table gives
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import checkpoint_dir, slices
+from .common import partitions, scratch, shuffle_files_deleted, slices
 
 #: A block closes at this many ids; only a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
@@ -58,17 +57,17 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(shared.value)
-        shard, block, first = TaskContext.get().partitionId(), 0, 0
+        shard, block, first, total = TaskContext.get().partitionId(), 0, 0, 0
         held: list[np.ndarray] = []
         names: list = []
         sizes: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, first
+            nonlocal block, first, total
             ids = np.concatenate(held)
             row = [[shard], [block], [first], [len(ids)], [bits], [list(names)], [np.cumsum(sizes).tolist()], [pack(ids, bits)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            block, first = block + 1, first + len(ids)
+            block, first, total = block + 1, first + len(ids), 0
             held.clear(), names.clear(), sizes.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], NAMES)
 
@@ -79,15 +78,16 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tok
                     held.append(ids[ends[i] : ends[i + 1]])
                     names.append(name)
                     sizes.append(int(ends[i + 1] - ends[i]))
-                    if sum(sizes) >= BLOCK_IDS:
+                    total += sizes[-1]
+                    if total >= BLOCK_IDS or len(sizes) >= BLOCK_IDS:
                         yield flush()
         if names:
             yield flush()
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")  # the text moves, not the ids: they are made once
-    ordered.mapInArrow(run, SCHEMA).write.parquet(path)
+    ordered = rows.repartitionByRange(partitions(df.sparkSession), "key").sortWithinPartitions("key", "text")  # the text moves, not the ids: they are made once
+    with shuffle_files_deleted(df.sparkSession):
+        ordered.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -115,8 +115,41 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     return totals.select(F.col("shard").alias("of_shard"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
 
 
+def between(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids): ids number start .. stop - 1 of the whole file, a row per block; only blocks that hold some are
+    read, and of them only the bits asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, ids = [], []
+            for base, n, bits, payload in zip(*(b.column(i).to_pylist() for i in range(4))):
+                a, z = max(start - base, 0), min(stop - base, n)
+                at.append(base + a)
+                ids.append(unpack(payload, bits, a, z - a).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ids, pa.binary())], ["start", "ids"])
+
+    blocks = spark.read.parquet(path).join(F.broadcast(shard_starts(spark, path)), F.col("shard") == F.col("of_shard"))  # a row per shard
+    chosen = blocks.select((F.col("before") + F.col("first")).alias("base"), "n_ids", "bits", "payload").filter((F.col("base") < stop) & (F.col("base") + F.col("n_ids") > start))
+    return chosen.mapInArrow(run, "start long, ids binary")
+
+
+def document(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """(doc_id, ids) of each row written for one document; of its blocks only its own bits are unpacked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = []
+            for bits, names, ends, payload in zip(*(b.column(i).to_pylist() for i in range(4))):
+                starts = [0, *ends[:-1]]
+                ids += [unpack(payload, bits, s, e - s).astype("<u4").tobytes() for name, s, e in zip(names, starts, ends) if name == doc_id]
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(ids), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    blocks = spark.read.parquet(path).filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    return blocks.select("bits", "doc_ids", "doc_ends", "payload").mapInArrow(run, "doc_id long, ids binary")
+
+
 def written(df: DataFrame, **options) -> str:
-    """Writes df's ids into a new file of the shared folder; its path."""
-    path = f"{checkpoint_dir(df.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Writes df's ids into a new file of the shared folder, which goes with the application; its path."""
+    path = scratch(df.sparkSession, "tokens")
     write(df, path, **options)
     return path
