@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let
+from .common import let, saved
 
 #: Hexadecimal digits that make a uniform number, exact in a double.
 DIGITS = 13
-#: A Poisson table stops where less than this is left; draws beyond go to its last entry.
-TAIL = 1e-12
-#: Most sources whose tables (some 300 bytes each, 15 KB at the largest rates) are broadcast.
+#: Largest mean of one draw. A sum of independent Poisson draws is one of their means' sum, so larger rates take several.
+MOST = 500.0
+#: Copies of a row that are made at once.
+COPIES = 1000
+#: Most sources whose tables (some 300 bytes each, 6 KB at the largest rates) are broadcast.
 BROADCAST_SOURCES = 2000
 
 #: Target weights of the mixture, before scaling: the hot source counts twice, every other one, named here or not, once.
@@ -35,7 +37,8 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """Distribution function at 0, 1, ... as an array up to where it comes within TAIL of 1; rates up to 700."""
+    """Distribution function at 0, 1, ... as an array, up to 12 deviations and 20 above the mean, where less is left than
+    a uniform number of 52 bits can tell from 1; rates up to MOST."""
     top = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
     step = lambda a, k: let(a["p"] * rate / k, lambda p: F.struct(p.alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + p)).alias("c")))
@@ -59,19 +62,22 @@ def source_rates(df: DataFrame, weights: dict[str, float] | None = None, source:
 def mix(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", seed: str = "0", epochs: float = 1.0, others: float = OTHERS) -> DataFrame:
     """df with each row repeated by its draw, plus `copy` (from 0) and `mix_key`, sorted globally by mix_key.
 
-    A rate above 500 is split into a whole number of repetitions and a rest that is drawn.
+    A rate above MOST is the sum of as few equal draws as keep to it, each at a hash of its own.
     """
     rates = source_rates(df, weights, source, epochs, others)
-    whole = F.when(F.col("mix_rate") > 500, F.floor(F.col("mix_rate")) - 100).otherwise(F.lit(0)).cast("int")
-    rates = checkpoint(rates.select("mix_source", whole.alias("mix_whole"), poisson_cdf(F.col("mix_rate") - whole).alias("mix_cdf")))
+    draws = F.greatest(F.ceil(F.col("mix_rate") / MOST), F.lit(1)).cast("int")
+    rates = saved(rates.select("mix_source", draws.alias("mix_draws"), poisson_cdf(F.col("mix_rate") / draws).alias("mix_cdf")), "rates").rows
     if rates.count() <= BROADCAST_SOURCES:  # else the join deals documents by source, and Spark splits the hot ones
         rates = F.broadcast(rates)
     docs = df.drop("copy", "mix_key")
     kept = docs.columns
     ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     drawn = docs.join(rates, docs[source].eqNullSafe(rates["mix_source"]))
-    u = uniform(seed, ident)
-    count = F.col("mix_whole") + let(u, lambda v: F.size(F.filter("mix_cdf", lambda c: c <= v)))
-    copies = drawn.withColumn("mix_n", count).filter("mix_n > 0").select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)).alias("copy"))
+    draw = lambda u: let(u, lambda v: F.size(F.filter("mix_cdf", lambda c: c <= v)).cast("long"))
+    further = lambda j: draw(uniform(seed, j.cast("string"), ident))
+    count = F.when(F.col("mix_draws") == 1, draw(uniform(seed, ident))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("mix_draws")), F.lit(0).cast("long"), lambda a, j: a + further(j)))
+    columns = [F.col(f"`{c}`") for c in kept]
+    some = drawn.withColumn("mix_n", count).filter("mix_n > 0").select(*columns, "mix_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(mix_n - 1) div {COPIES}"))).alias("mix_k"))
+    copies = some.select(*columns, F.explode(F.sequence((F.col("mix_k") * COPIES).cast("int"), (F.least("mix_n", (F.col("mix_k") + 1) * COPIES) - 1).cast("int"))).alias("copy"))
     keyed = copies.withColumn("mix_key", F.substr(F.md5(F.concat_ws(":", F.lit("shuffle"), F.lit(seed), ident, F.col("copy"))), F.lit(1), F.lit(15)))
     return keyed.orderBy("mix_key", key, "copy")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import SHINGLE, TEMPLATES, need, plain
-from .mixing import MIX_WEIGHTS, OTHERS
+from .mixing import MIX_WEIGHTS, MOST, OTHERS
 from .quality import RULES, STOP_WORDS
 from .substring import WINDOW
 
@@ -102,12 +102,12 @@ def mixing_sql(weights: dict[str, float], others: float, docs: str = "documents"
     return f"""
 mix_weighed AS (SELECT source, count(*) AS n, coalesce(any_value(g.w), {others}) AS w FROM {docs} LEFT JOIN (VALUES {given}) g(s, w) ON g.s = source GROUP BY source),
 mix_rates AS (SELECT source, w / (SELECT sum(w) FROM mix_weighed) * (SELECT sum(n) FROM mix_weighed) * 1.0 / n AS rate FROM mix_weighed),
-mix_split AS (SELECT source, CAST(CASE WHEN rate > 500 THEN floor(rate) - 100 ELSE 0 END AS INT) AS whole, rate FROM mix_rates),
-mix_cdf AS (SELECT source, whole, list_sum([exp(-(rate - whole)) * list_product(list_prepend(1.0, list_transform(range(1, k + 1), lambda j: (rate - whole) / j)))]) AS p, k
-  FROM mix_split, range(0, 1800) AS r(k) WHERE k <= ceil((rate - whole) + 12 * sqrt(rate - whole) + 20)),
-mix_cum AS (SELECT source, whole, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM mix_cdf),
-mix_table AS (SELECT source, any_value(whole) AS whole, list(c) AS cdf FROM mix_cum GROUP BY source),
-mix_draw AS (SELECT d.*, t.whole + len(list_filter(cdf, lambda c: c <= CAST(('0x' || substr(md5('0:' || d.doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0)) AS times FROM {docs} d JOIN mix_table t ON t.source IS NOT DISTINCT FROM d.source),
+mix_split AS (SELECT source, CAST(greatest(ceil(rate / {MOST}), 1) AS INT) AS draws, rate / greatest(ceil(rate / {MOST}), 1) AS mean FROM mix_rates),
+mix_cdf AS (SELECT source, draws, list_sum([exp(-mean) * list_product(list_prepend(1.0, list_transform(range(1, k + 1), lambda j: mean / j)))]) AS p, k
+  FROM mix_split, range(0, 1800) AS r(k) WHERE k <= ceil(mean + 12 * sqrt(mean) + 20)),
+mix_cum AS (SELECT source, draws, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM mix_cdf),
+mix_table AS (SELECT source, any_value(draws) AS draws, list(c) AS cdf FROM mix_cum GROUP BY source),
+mix_draw AS (SELECT d.*, CAST(list_sum(list_transform(range(1, t.draws + 1), lambda j: len(list_filter(cdf, lambda c: c <= CAST(('0x' || substr(md5('0:' || CASE WHEN t.draws = 1 THEN '' ELSE j || ':' END || d.doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0)))) AS BIGINT) AS times FROM {docs} d JOIN mix_table t ON t.source IS NOT DISTINCT FROM d.source),
 copies AS (SELECT *, substr(md5('shuffle:0:' || doc_id || ':' || copy), 1, 15) AS mix_key FROM (SELECT *, unnest(range(0, times)) AS copy FROM mix_draw))"""
 
 
