@@ -91,7 +91,7 @@ def test_pii_edges(spark, text):
 
 
 def test_pii_many_spans(spark):
-    text = " ".join(f"u{i}@h.example" for i in range(2000))
+    text = " ".join(f"u{i}@h.example" for i in range(50_000))
     r = pii.pii_spans(spark.createDataFrame([(text,)], "text string")).first()
     assert [(x["kind"], x["start"], x["end"]) for x in r["pii"]] == plain.pii_base(text)
 
@@ -103,6 +103,13 @@ def test_pii_context_moves_scores(spark):
     assert got[3][0]["score"] > got[4][0]["score"]
 
 
+def test_pii_context_is_of_whole_words_both_ways(spark):
+    far = "x " * 700  # contexts across the border of two pieces
+    rows = [(1, "hotel +1 555 010 4477"), (2, "tel +1 555 010 4477"), (3, "order +1 555 010 4477"), (4, far[:985] + "call é +1 555 010 4477 tel"), (5, "é" * 1500 + " +1 555 010 4477 order")]
+    got = {r["doc_id"]: round(r["pii"][0]["score"], 2) for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: 0.7, 2: 1.0, 3: 0.35, 4: 1.0, 5: 0.35}
+
+
 def test_substring(docs, rows, none, odd):
     got = [tuple(r) for r in substring.repeats_removed(docs).collect()]
     assert sorted(got) == sorted(plain.substring(rows))
@@ -281,10 +288,14 @@ def test_mixing_reaches_targets(spark):
     assert shares == pytest.approx({"hot": 0.25, "mid": 0.25, "rare": 0.5}, rel=0.06)
 
 
-def test_mixing_large_rates(spark):
-    df = spark.createDataFrame([(i, "a" if i else "b") for i in range(1000)], "doc_id long, source string")
-    got = {r["source"]: r["count"] for r in mixing.mix(df, {"a": 1, "b": 9}).groupBy("source").count().collect()}
-    assert 750 < got["b"] < 1050  # one document, rate 900
+@pytest.mark.parametrize("rate", [400, 600, 5000])
+def test_mixing_large_rates_are_poisson(spark, rate):
+    df = spark.range(301).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 300, "a").otherwise("b").alias("source"))
+    drawn = mixing.mix(df, {"a": 1.0, "b": 0.0}, epochs=rate * 300 / 301)
+    counts = [r["n"] for r in drawn.groupBy("doc_id").agg(F.count("copy").alias("n"), F.countDistinct("copy").alias("m")).filter("n = m").collect()]
+    assert len(counts) == 300
+    assert abs(np.mean(counts) - rate) < 5 * (rate / 300) ** 0.5
+    assert 0.7 * rate < np.var(counts) < 1.35 * rate
 
 
 def test_poisson_table(spark):
@@ -307,6 +318,25 @@ def test_token_file(spark, docs, rows, none, odd, tmp_path):
     assert tokenfile.read(spark, tokenfile.written(odd)).count() == odd.count()
 
 
+def test_token_file_random_access(spark, docs, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 500)
+    path = tokenfile.written(docs)
+    encoder = tokens.encoder(tokens.read_file(None)).tokenizer
+    ids = {r["doc_id"]: encoder.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in docs.select("doc_id", "text").collect()}
+    every = [x for i in sorted(ids) for x in ids[i]]
+    for start, stop in ((0, 1), (490, 1510), (len(every) - 3, len(every) + 9), (7, 7)):
+        got = sorted((r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in tokenfile.between(spark, path, start, stop).collect())
+        assert [x for _, part in got for x in part] == every[start:stop]
+        assert not got or got[0][0] == start
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in tokenfile.document(spark, path, 20).collect()] == [ids[20]]
+    assert tokenfile.document(spark, path, -5).count() == 0
+
+
+def test_token_file_of_empty_documents(spark):
+    path = tokenfile.written(spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")))
+    assert tokenfile.read(spark, path).filter(F.col("ids") == F.lit(b"\x01\0\0\0")).count() == 200_000
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
@@ -384,7 +414,7 @@ def test_top_k(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("dim", F.lit(1)).withColumn("score", F.lit(2))
     want = plain.top_k(rows)
     assert {tuple(r) for r in topk.top_k(df, "id % 20 = 0").collect()} == want
-    assert {tuple(r) for r in topk.top_k(df, "id % 20 = 0", shard_rows=50, block_rows=7).collect()} == want
+    assert {tuple(r) for r in topk.top_k(df, "id % 20 = 0", shard_rows=50).collect()} == want
     assert topk.top_k(df.filter("vec_id < -1"), "id % 20 = 0").count() == 0
 
 
