@@ -38,13 +38,19 @@ def wide(a: Column, b: Column, c: Column) -> Column:
     return F.when(y == 0, F.lit(0)).otherwise((x - x % F.nullif(y, F.lit(0))) / F.nullif(y, F.lit(0))).cast("bigint")
 
 
+def share(a: Column, total: Column) -> Column:
+    """ratio by decimals, for whole numbers of up to 30 digits."""
+    x, y = a.cast("decimal(30,0)") * F.lit(SCALE).cast("decimal(7,0)"), F.nullif(total.cast("decimal(30,0)"), F.lit(0).cast("decimal(30,0)"))
+    return F.coalesce(((x - x % y) / y).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def halve(value: Column, age: Column, half_life: Column) -> Column:
     """value after age days: whole halvings, then a straight line within the last; half-life 0 leaves it."""
     life = F.nullif(half_life.cast("bigint"), F.lit(0))
     whole = F.call_function("div", age.cast("bigint"), life)
     rest = age.cast("bigint") % life
     halved = F.when(whole >= 63, F.lit(0).cast("bigint")).otherwise(F.call_function("div", value, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(whole, F.lit(62)).cast("int"))))
-    return F.when(half_life == 0, value).otherwise(halved - F.call_function("div", halved * rest, 2 * life))
+    return F.when((half_life == 0) | (age == 0), value).otherwise(halved - F.call_function("div", halved * rest, 2 * life))
 
 
 def show(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import merkle
-from .fixpoint import closure, components
+from .fixpoint import components, reached
 
 #: Why a member may be removed.
 CAUSES = ("split", "tombstone", "superseded-domain")
@@ -82,8 +82,8 @@ def growth(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def missing_depends(members: DataFrame, depends: DataFrame) -> DataFrame:
     """(cid): what members(cid) rest on, directly or not, and don't include."""
-    met = closure(members.select(F.col("cid").alias("start")), depends.select(F.col("cid").alias("src"), F.col("dep").alias("dst")))
-    return met.select(F.col("node").alias("cid")).distinct().join(members.select("cid").distinct(), "cid", "left_anti")
+    edges = depends.select(F.col("cid").alias("src"), F.col("dep").alias("dst"))
+    return reached(members.select("cid"), edges).join(members.select("cid").distinct(), "cid", "left_anti")
 
 
 def missing_equivalents(members: DataFrame, links: DataFrame) -> DataFrame:

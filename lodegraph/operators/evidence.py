@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlaps
@@ -50,9 +50,16 @@ def related_pairs(parties: DataFrame, affiliations: DataFrame | None = None, sam
     """(src, dst), src < dst, of parties(id, group, author, funding) of one group that aren't independent.
 
     Related: the same author, equal declared funding, one person by attestation (a, b), or an affiliation
-    (author, org, from, to) that overlaps in time. Each reason is an equi-join or a star on its own, never a nested loop.
+    (author, org, from, to) that overlaps in time. Of each reason as many pairs come out as hold its parties together:
+    stars on the least party, and of affiliations the links of a sweep by their beginnings, each period with the one
+    before it that ends last. Only periods that end before they begin are compared with all of their group and org.
     """
-    star = lambda by: parties.filter(F.col(by).isNotNull()).select("group", "id", F.min("id").over(_by("group", by)).alias("hub")).filter("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst"))
+
+    def star(by: str) -> DataFrame:
+        own = parties.filter(F.col(by).isNotNull()).select("group", by, "id")
+        hubs = own.groupBy("group", by).agg(F.min("id").alias("hub"))
+        return own.join(hubs, ["group", by]).filter("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst"))
+
     found = star("author").union(star("funding"))
     a = parties.select("group", F.col("id").alias("src"), F.col("author").alias("author_a"))
     b = parties.select(F.col("group").alias("group_b"), F.col("id").alias("dst"), F.col("author").alias("author_b"))
@@ -62,18 +69,17 @@ def related_pairs(parties: DataFrame, affiliations: DataFrame | None = None, sam
         found = found.union(a.join(links, "author_a").join(b, "author_b").filter("group = group_b AND src < dst").select("src", "dst"))
     if affiliations is not None:
         own = parties.join(affiliations, "author").select("group", "id", "org", "from", "to").distinct()
+        begin, end = F.coalesce("from", F.lit("")), F.coalesce("to", F.lit("~"))
         other = own.select(*[F.col(c).alias(f"{c}_b") for c in own.columns])
-        meet = (F.col("group") == F.col("group_b")) & (F.col("org") == F.col("org_b")) & (F.col("id") < F.col("id_b"))
-        found = found.union(own.join(other, meet & overlaps(F.col("from"), F.col("to"), F.col("from_b"), F.col("to_b"))).select(F.col("id").alias("src"), F.col("id_b").alias("dst")))
+        meet = (F.col("group") == F.col("group_b")) & (F.col("org") == F.col("org_b")) & (F.col("id") != F.col("id_b"))
+        odd = own.filter(begin > end).join(other, meet & overlaps(F.col("from"), F.col("to"), F.col("from_b"), F.col("to_b"))).select("id", F.col("id_b").alias("other"))
+        before = Window.partitionBy("group", "org").orderBy(begin, end, "id").rowsBetween(Window.unboundedPreceding, -1)
+        swept = own.filter(begin <= end).withColumn("last", F.max(F.struct(end.alias("end"), F.col("id").alias("id"))).over(before))
+        linked = swept.filter((F.col("last.end") >= begin) & (F.col("last.id") != F.col("id"))).select("id", F.col("last.id").alias("other")).union(odd)
+        found = found.union(linked.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")))
     return found.distinct()
 
 
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
-
-
 def independent_counts(parties: DataFrame, affiliations: DataFrame | None = None, same_person: DataFrame | None = None) -> DataFrame:
     """(group, independent): number of components of related parties in each group."""
     found = components(parties.select(F.col("id").alias("node")), related_pairs(parties, affiliations, same_person))

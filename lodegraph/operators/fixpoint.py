@@ -17,8 +17,12 @@ EVERY = 4
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodegraph-checkpoint-")
+    """The cluster's shared folder; where none is set, a local one under a local master alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="lodegraph-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -50,6 +54,20 @@ def reach(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
     return seen
 
 
+def reached(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cid): own(cid) and all that they reach, as from one start: a frontier is a set of nodes, not of pairs."""
+    steps = held(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    seen = front = held(own.select("cid").filter("cid IS NOT NULL").distinct())
+    rounds = 0
+    while not front.isEmpty():
+        met = front.join(steps, front["cid"] == steps["src"]).select(F.col("dst").alias("cid")).distinct()
+        front = held(met.join(seen, "cid", "left_anti"))
+        seen, rounds = seen.union(front), rounds + 1
+        if rounds % EVERY == 0:
+            seen = held(seen)
+    return seen
+
+
 def closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(start, node, depth) without the starts themselves, plus `cyclic`: whether the start reaches itself again."""
     found = reach(starts, edges)

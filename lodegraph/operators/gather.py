@@ -9,6 +9,8 @@ from ..functions import fixed
 from ..model import REPRODUCIBILITY, ClaimGraph
 from . import evidence, lineage, standing, trust
 
+#: The largest weight, in units.
+MOST_UNITS = str(2**64 - 1)
 TEXTS = "array<string>"
 
 
@@ -76,8 +78,10 @@ def proofs(graph: ClaimGraph) -> DataFrame:
 
 
 def trust_edges(graph: ClaimGraph) -> DataFrame:
+    """(src, dst, weight, subjects, age_days): weights are unsigned 64-bit units, scaled, as DECIMAL; anything else is one unit."""
     rows = _of(graph, "trusts", weight="weight", subjects="subjects")
-    whole = F.when(F.col("weight").rlike("^[0-9]{1,12}$"), F.col("weight").cast("bigint") * fixed.SCALE)
+    units = F.when(F.col("weight").rlike("^[0-9]{1,20}$"), F.col("weight").cast("decimal(20,0)"))
+    whole = F.when(units <= F.lit(MOST_UNITS).cast("decimal(20,0)"), units * F.lit(fixed.SCALE).cast("decimal(7,0)")).cast("decimal(26,0)")
     return trust.trust_edges(rows.select("cid", "author", "target", whole.alias("weight"), F.from_json("subjects", TEXTS).alias("subjects")))
 
 

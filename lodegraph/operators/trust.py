@@ -34,10 +34,15 @@ def decayed(edges: DataFrame, half_life: int | None) -> DataFrame:
 
 
 def shares(edges: DataFrame) -> DataFrame:
-    """(src, dst, share): parallel edges summed, then each source's weights as shares of their sum."""
-    summed = edges.groupBy("src", "dst").agg(F.sum("weight").cast("bigint").alias("weight"))
-    total = F.sum("weight").over(Window.partitionBy("src")).cast("bigint")
-    return summed.withColumn("total", total).select("src", "dst", fixed.ratio(F.col("weight"), F.col("total")).alias("share"))
+    """(src, dst, share): parallel edges summed, then each source's weights as shares of their sum.
+
+    Weights are BIGINT, or DECIMAL where they may be larger; sums are aggregated before they are dealt by source.
+    """
+    large = dict(edges.dtypes)["weight"].startswith("decimal")
+    kind, part = ("decimal(30,0)", fixed.share) if large else ("bigint", fixed.ratio)
+    summed = edges.groupBy("src", "dst").agg(F.sum("weight").cast(kind).alias("weight"))
+    totals = edges.groupBy("src").agg(F.sum("weight").cast(kind).alias("total"))
+    return summed.join(totals, "src").select("src", "dst", part(F.col("weight"), F.col("total")).alias("share"))
 
 
 def seeds(roots: DataFrame) -> DataFrame:

@@ -20,14 +20,7 @@ def needed(own: DataFrame, parent: DataFrame, refs: DataFrame, attached: DataFra
     steps = refs.select(F.col("source").alias("src"), F.col("target").alias("dst"))
     if attached is not None:
         steps = steps.union(attached.select(F.col("target").alias("src"), F.col("cid").alias("dst")))
-    # one virtual start, so that a frontier is a set of nodes and not of pairs
-    seen = fixpoint.held(own.select("cid").distinct())
-    front = seen
-    while not front.isEmpty():
-        met = front.join(steps, front["cid"] == steps["src"]).select(F.col("dst").alias("cid")).distinct()
-        front = fixpoint.held(met.join(seen, "cid", "left_anti"))
-        seen = fixpoint.held(seen.union(front))
-    return seen.join(own.select("cid"), "cid", "left_anti").join(parent.select("cid").distinct(), "cid", "left_semi")
+    return fixpoint.reached(own, steps).join(own.select("cid"), "cid", "left_anti").join(parent.select("cid").distinct(), "cid", "left_semi")
 
 
 def resolved(asked: DataFrame, locks: DataFrame, pinned: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def annotation_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     payload = F.when(F.expr("event_id % 3 = 0"), F.lit('{"subjects":["a","b"]}')).otherwise(F.concat(F.lit('{"weight":'), F.expr("event_id % 11").cast("string"), F.lit("}")))
     notes = e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("cid"), F.col("user_id").cast("string").alias("author"), F.when(F.col("event_type") == "error", "verdict").otherwise("trusts").alias("kind"), F.expr("event_id % 53").cast("string").alias("target"), F.lit(None).cast("string").alias("aspect"), payload.alias("value"))
-    return gather.trust_edges(ClaimGraph(spark, annotations=notes)).select("src", "dst", "weight", F.size("subjects").alias("subjects"))
+    return gather.trust_edges(ClaimGraph(spark, annotations=notes)).select("src", "dst", F.col("weight").cast("bigint").alias("weight"), F.size("subjects").alias("subjects"))
 
 
 QUERIES = {f.__name__: f for f in (content_tree, draft_report, import_resolution, rival_concepts, needed_objects, pin_status, map_nodes, annotation_trust)}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.model import ClaimGraph
-from lodegraph.operators import gather, signing, standing, trees
+from lodegraph.operators import gather, signing, standing, trees, trust
 from lodegraph.sources import cbor, ids, objects, payloads
 
 CREATED = "2026-01-01T00:00:00Z"
@@ -51,6 +51,19 @@ def test_trust_edges(graph):
     assert got["root", "bob"][0] in (1_000_000, 9_000_000)
 
 
+def test_weights_of_the_whole_unsigned_range(spark):
+    """Twenty digits count as they are; what no unsigned 64-bit integer can hold is one unit."""
+    rows = [("a", "x", 18446744073709551615), ("b", "y", 18446744073709551614), ("c", "z", 1000000000000), ("d", "u", 18446744073709551616), ("e", "v", -5), ("f", "w", 0)]
+    notes = spark.createDataFrame([(cid, "root", "trusts", dst, None, f'{{"weight":{w}}}') for cid, dst, w in rows], "cid string, author string, kind string, target string, aspect string, value string")
+    edges = gather.trust_edges(ClaimGraph(spark, annotations=notes))
+    assert {r["dst"]: int(r["weight"]) for r in edges.collect()} == {"x": 18446744073709551615 * 10**6, "y": 18446744073709551614 * 10**6, "z": 10**18, "u": 10**6, "v": 10**6, "w": 0}
+    shares = {r["dst"]: r["share"] for r in trust.shares(edges).collect()}
+    total = sum(int(r["weight"]) for r in edges.collect())
+    assert shares == {r["dst"]: int(r["weight"]) * 10**6 // total for r in edges.collect()}
+    weights = {r["key"]: r["weight"] for r in trust.propagate(edges, spark.createDataFrame([("root", 1_000_000)], "key string, weight long"), rounds=2).collect()}
+    assert weights["x"] > 0 and "w" not in weights
+
+
 def test_evidence(spark, graph):
     g, c, p, r = graph
     weights = spark.createDataFrame([("bob", 500), ("cy", 300), ("dan", 100)], "key string, weight long")

@@ -297,3 +297,31 @@ def test_determinism(spark, partitions):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == sorted(plain_pagerank([(i % 9, i * 5 % 9, 1000 + i) for i in range(60)], [(0, 1), (3, 2)], 850_000, 6).items())
+
+
+def test_affiliations_meet_by_a_sweep(spark):
+    """Components of the links are those of all pairs of periods that overlap, ends included, open and inverted ones too."""
+    import random
+
+    from lodegraph.operators import evidence, fixpoint
+
+    r = random.Random(4)
+    month = lambda: f"20{r.randint(10, 29)}-{r.randint(1, 12):02d}"
+    parties = [(i, f"g{i % 3}", f"a{i}", None) for i in range(90)]
+    held = [(f"a{i}", f"o{r.randint(0, 2)}", month() if r.random() < 0.9 else None, None) for i in range(90)]
+    held = [(a, o, f, (f or "2015-01")[:5] + ("9" if r.random() < 0.2 else f"{r.randint(0, 9)}") + "-01" if r.random() < 0.9 else None) for a, o, f, _ in held]
+    p = spark.createDataFrame(parties, "id long, group string, author string, funding string")
+    a = spark.createDataFrame(held, "author string, org string, from string, to string")
+    links = evidence.related_pairs(p, a)
+    got = {x["node"]: x["component"] for x in fixpoint.components(p.select(F.col("id").alias("node")), links).collect()}
+    up = list(range(90))
+    find = lambda i: i if up[i] == i else find(up[i])
+    low, high = (lambda x: x or ""), (lambda x: "~" if x is None else x)
+    for i in range(90):
+        for j in range(i):
+            x, y = held[i], held[j]
+            if i % 3 == j % 3 and x[1] == y[1] and low(x[2]) <= high(y[3]) and low(y[2]) <= high(x[3]):
+                u, v = find(i), find(j)
+                up[max(u, v)] = min(u, v)
+    assert got == {i: find(i) for i in range(90)}
+    assert links.count() <= 3 * 90 and len(set(got.values())) > 9
