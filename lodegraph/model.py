@@ -50,6 +50,17 @@ PRINCIPALS = ("human", "organization", "automated")
 REPRODUCIBILITY = ("open", "restricted", "unique-event", "destructive")
 OUTCOMES = ("accepted", "rejected", "contested", "undetermined", "unreplicated", "not-truth-apt")
 
+#: Names of rules on money, fixed values, each with its ground.
+PROHIBITIONS = {
+    "gate-access": "money may hasten a replication but decides nobody's right to read",
+    "standing-from-money": "what is believed must not follow from who can pay",
+    "bounty-value-in-evaluation": "an evaluation judges a claim, not the sum offered on it",
+    "settlement-as-truth": "a payout reports a funder's chosen view at one time, not a fact",
+}
+#: The methods and fidelities of a translation.
+TRANSLATION_METHODS = ("human", "machine", "machine-post-edited")
+FIDELITIES = ("literal", "idiomatic", "adapted")
+
 #: Column lists of the tables.
 SCHEMAS = {
     "objects": "cid string, kind string, created string, author string, prev string, basis string, body string, ext string, bytes binary",

@@ -132,6 +132,23 @@ def acyclic(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges")).withColumn("on_or_above_cycle", stuck).withColumn("acyclic", F.col("on_or_above_cycle") == 0)
 
 
+def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cycle, path): a cycle of edges(src, dst) for each set of nodes that can't be ordered, its least node first and last.
+
+    Every node that `levels` leaves open points to another such node; following the least of them leads onto one cycle,
+    and what nothing follows to is peeled off, so only the cycles' own nodes are walked. `path` is as long as its cycle.
+    """
+    stuck = held(levels(nodes, edges).filter("level IS NULL").select("node"))
+    after = edges.select("src", "dst").join(stuck.select(F.col("node").alias("dst")), "dst").join(stuck.select(F.col("node").alias("src")), "src")
+    follow = held(after.groupBy("src").agg(F.min("dst").alias("dst")))
+    turned = follow.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    on = levels(follow.select(F.col("src").alias("node")), turned).filter("level IS NULL").select("node")
+    ring = held(follow.join(on.select(F.col("node").alias("src")), "src"))
+    first = roots(ring.select(F.col("src").alias("node"), F.col("dst").alias("parent"))).select(F.col("root").alias("start")).distinct()
+    found = reach(first, ring).groupBy(F.col("start").alias("cycle")).agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("walk"))
+    return found.select("cycle", F.concat(F.transform("walk", lambda w: w["node"]), F.array("cycle")).alias("path"))
+
+
 def closes_cycle(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs(src, dst) plus `closes`: whether adding the edge would close a cycle (a self-edge, or dst reaches src)."""
     asked = pairs.select("src", "dst", F.col("dst").alias("start"), F.col("src").alias("target"))

@@ -7,7 +7,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, scalars, sets, sources, streams, trust, work
+from . import graphs, records, scalars, sets, sources, streams, trust, work
 
 
 class Subject:
@@ -23,4 +23,4 @@ class Subject:
         return dict(self.module.SQL)
 
 
-MODULES = [Subject(m) for m in (trust, graphs, sets, scalars, streams, work, sources)]
+MODULES = [Subject(m) for m in (trust, graphs, sets, scalars, streams, work, sources, records)]

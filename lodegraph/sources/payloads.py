@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import is_cid
 from ..model import OUTCOMES
 from ..operators.standing import MOST_ROUNDS, Policy
 from . import cbor
@@ -66,9 +67,11 @@ def disclosed(annotations: DataFrame, kind: str) -> DataFrame:
 
 
 def bounty_faults(objects: DataFrame) -> DataFrame:
-    """(cid, rule) of bounties with an unknown kind, no policy, or too small a share for review."""
-    of = objects.filter("kind = 'bounty'").select("cid", field("kind").alias("k"), field("policy").alias("p"), field("review_share").cast("bigint").alias("s"))
-    rules = F.array_compact(F.array(F.when(~F.coalesce(F.col("k").isin(*BOUNTIES), F.lit(False)), F.lit("unknown kind")), F.when(F.col("p").isNull(), F.lit("no policy")), F.when(F.coalesce("s", F.lit(0)) < LEAST_REVIEW_SHARE, F.lit("review share too small"))))
+    """(cid, rule) of bounties with an unknown kind (review if none is stated), no policy or target, or too small a share for review."""
+    of = objects.filter("kind = 'bounty'").select("cid", F.coalesce(field("kind"), F.lit("review")).alias("k"), field("policy").alias("p"), field("target").alias("t"), field("base_share").try_cast("decimal(20,0)").alias("s"))
+    absent = lambda c: ~F.coalesce(is_cid(F.col(c)), F.lit(False))
+    share = F.when(F.col("s").isNull() | (F.col("s") < 0), F.lit("no review share")).when(F.col("s") < LEAST_REVIEW_SHARE, F.lit("review share too small"))
+    rules = F.array_compact(F.array(F.when(~F.col("k").isin(*BOUNTIES), F.lit("unknown kind")), F.when(absent("p"), F.lit("no policy")), share, F.when(absent("t"), F.lit("no target"))))
     return of.select("cid", F.explode(rules).alias("rule"))
 
 

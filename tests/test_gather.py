@@ -130,7 +130,7 @@ def test_payloads(spark, tmp_path):
     good = {"roots": [{"key": "k", "weight": 2}], "damping": 850000, "iterations": 20, "tau": 660000, "delta_max": 290000, "replication_floor": 2, "independence_distance": 2, "equivalence": "none"}
     raw = [made("policy", "a", **good), made("policy", "a", **(good | {"iterations": 201})), made("policy", "a", **(good | {"roots": []})), made("policy", "a", **{k: v for k, v in good.items() if k != "tau"})]
     raw += [made("domain", "a", snapshot="s", bound=10, size=11), made("generation", "a", domain="d", index=3, parent="p", snapshot="s", added=["x", "y"], removed=[{"cid": "z", "cause": "split", "ref": "r"}, {"cid": "w", "cause": "whim"}])]
-    raw += [made("bounty", "a", kind="review", policy="p", review_share=6000), made("bounty", "a", kind="gift", review_share=1)]
+    raw += [made("bounty", "a", policy=ids.cid_of(b"p"), target=ids.cid_of(b"t"), base_share=6000), made("bounty", "a", kind="gift", policy="p", target=ids.cid_of(b"t"), base_share=1)]
     held, _ = objects.split(objects.parsed(spark.createDataFrame([(bytearray(x),) for x in raw], "content binary")))
     found = payloads.policies(held)
     assert sorted(str(r["fault"]) for r in found.collect()) == ["None", "missing or ill-typed field", "no root with weight", "too many iterations"]
