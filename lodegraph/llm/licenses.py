@@ -4,7 +4,8 @@ A template of n shingles (of five words; of all its words if it has fewer) is so
 begin at every s-th, where s is the power of two from n on: whatever s + 1 shingles in a row hold, one window holds
 whole. A window with the required share of the template has a Jaccard similarity of at least need / (2s + n - need);
 with one row per band, enough bands are taken that such a window shares one with a probability of 1 - MISS at least.
-Each retrieved pair is then judged by the exact share of the template's shingles that the window has.
+Hashes only retrieve: each retrieved pair is judged by the share of the template's shingles that the window has word by
+word, shingles being named by their words' places in the templates.
 
 Words are compared in lower case (A-Z) without what isn't a letter or digit of ASCII at either end; words of which
 nothing is left don't count. Null and empty text match nothing. Rows are judged alone, so repeated rows repeat their
@@ -24,35 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, slices
+from .license_texts import TEMPLATES
 
 SHINGLE = 5
 CONTAINMENT = Fraction(4, 5)
 MISS = 1e-6
-#: Opening passages and short notices of common licenses, as published.
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
-    ),
-    "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "mit-notice": "Released under the MIT License.",
-    "mit-permission": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."
-    ),
-    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
 _EDGES = re.compile(rb"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$")
 
 
@@ -86,32 +63,66 @@ def _turned(h: np.ndarray, i: int) -> np.ndarray:
     return ((h * np.uint64(factor)) >> np.uint64(32)).astype(np.uint32)
 
 
+class Spellings:
+    """Exact numbers of the templates' words and shingles, from 1; 0 is any other.
+
+    A shingle grows word by word: the number of its beginning and that of the next word make a pair, and pairs are
+    numbered in order. No hash is involved, so equal numbers are equal words.
+    """
+
+    def __init__(self, width: int, templates: list[list[bytes]]):
+        self.words = {w: i + 1 for i, w in enumerate(sorted({w for t in templates for w in t}))}
+        self.base = np.int64(len(self.words) + 1)
+        self.pairs: list[np.ndarray] = []
+        coded = [self.coded(t) for t in templates]
+        for k in range(1, width):
+            self.pairs.append(np.unique(np.concatenate([self._paired(c, k) for c in coded])))
+
+    def coded(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
+
+    def _paired(self, coded: np.ndarray, k: int) -> np.ndarray:
+        """Pairs of the beginnings of k words with the words after them; 0 where either is another's."""
+        start, after = self.shingles(coded, k)[: max(0, len(coded) - k)], coded[k:]
+        return np.where((start > 0) & (after > 0), start * self.base + after, 0)
+
+    def shingles(self, coded: np.ndarray, width: int) -> np.ndarray:
+        """The number of the shingle at each place."""
+        if width == 1:
+            return coded
+        pairs, found = self.pairs[width - 2], self._paired(coded, width - 1)
+        at = np.minimum(np.searchsorted(pairs, found), len(pairs) - 1)
+        return np.where((found > 0) & (pairs[at] == found), at + 1, 0)
+
+
 class Group:
     """Templates with shingles of one width and windows of one size; `bands` hash functions retrieve them."""
 
-    def __init__(self, width: int, stride: int, templates: dict[str, np.ndarray], share: Fraction):
+    def __init__(self, width: int, stride: int, templates: dict[str, list[bytes]], share: Fraction):
         self.width, self.stride, self.share = width, stride, share
         self.names = sorted(templates)
-        self.sets = [np.unique(templates[n]) for n in self.names]
+        self.sets = [np.unique(_rolling(_hashed(templates[n]), width)) for n in self.names]
+        self.spellings = Spellings(width, [templates[n] for n in self.names])
+        self.exact = [np.unique(self.spellings.shingles(self.spellings.coded(templates[n]), width)) for n in self.names]
         least = min(need(len(s), share) / (2 * stride + len(s) - need(len(s), share)) for s in self.sets)
         self.bands = max(1, math.ceil(math.log(MISS) / math.log1p(-least)))
         self.minima = [[int(_turned(s, i).min()) for s in self.sets] for i in range(self.bands)]
 
 
 def groups(templates: dict[str, str], share: Fraction = CONTAINMENT) -> list[Group]:
-    found: dict[tuple[int, int], dict[str, np.ndarray]] = {}
+    found: dict[tuple[int, int], dict[str, list[bytes]]] = {}
     for name, text in templates.items():
         words = [w for w in map(plain, text.encode().split()) if w]
         if not words:
             raise ValueError(f"{name} has no words")
         width = min(SHINGLE, len(words))
-        shingles = _rolling(_hashed(words), width)
-        stride = 1 << (len(np.unique(shingles)) - 1).bit_length()
-        found.setdefault((width, stride), {})[name] = shingles
+        distinct = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+        stride = 1 << (len(distinct) - 1).bit_length()
+        found.setdefault((width, stride), {})[name] = words
     return [Group(w, s, t, share) for (w, s), t in sorted(found.items())]
 
 
-def _matches(group: Group, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, int, int, int, int, int]]:
+def _matches(group: Group, hashes: np.ndarray, coded: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, int, int, int, int, int]]:
     """(document, template, matched, total, first word, last word, windows) of the best window of each."""
     counts = np.maximum(np.diff(offsets) - group.width + 1, 0)
     if not counts.sum():
@@ -133,16 +144,18 @@ def _matches(group: Group, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[
         for t, least in enumerate(group.minima[i]):
             hit[t].update(np.flatnonzero(window == least).tolist())
     for t, name in enumerate(group.names):
-        whole = group.sets[t]
+        whole = group.exact[t]
         best: dict[int, list[int]] = {}
         for w in sorted(hit[t]):
             d = int(of_block[w])
-            own = shingles[starts[w] : min(starts[w] + 2 * group.stride, begin[d + 1])]
+            start = int(starts[w] - begin[d])
+            end = min(start + 2 * group.stride, int(counts[d]))
+            own = group.spellings.shingles(coded[offsets[d] + start : offsets[d] + end + group.width - 1], group.width)
             inside = np.isin(own, whole)
             matched = len(np.unique(own[inside]))
             if matched < need(len(whole), group.share):
                 continue
-            places = np.flatnonzero(inside) + int(starts[w] - begin[d])
+            places = np.flatnonzero(inside) + start
             found = [matched, len(whole), int(places[0]), int(places[-1]) + group.width - 1, 1]
             if d not in best:
                 best[d] = found
@@ -173,8 +186,9 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, key: str = "doc
                 own = counts[words.codes] if len(kept) else np.zeros(0, bool)
                 offsets = np.concatenate([[0], np.cumsum(own)])[words.offsets].astype(np.int64)
                 hashes = _hashed(kept)[words.codes[own]] if len(kept) else np.zeros(0, np.uint64)
+                codes = [g.spellings.coded(kept)[words.codes[own]] if len(kept) else np.zeros(0, np.int64) for g in all_groups]
                 ids = some.column(0).to_pylist()
-                rows = [(ids[d], *rest) for g in all_groups for d, *rest in _matches(g, hashes, offsets)]
+                rows = [(ids[d], *rest) for g, coded in zip(all_groups, codes) for d, *rest in _matches(g, hashes, coded, offsets)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
