@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_decimal
 
-#: Base dimensions, and units of the subset that is understood, with their dimension exponents.
+#: Base dimensions, and units of the common code for units of measure, with their dimension exponents.
 DIMENSIONS = ("length", "mass", "time", "current", "temperature", "amount", "luminosity")
-UNITS = {
+#: Units that take prefixes.
+METRIC = {
     "m": "length:1",
     "g": "mass:1",
     "s": "time:1",
@@ -17,46 +20,122 @@ UNITS = {
     "K": "temperature:1",
     "mol": "amount:1",
     "cd": "luminosity:1",
-    "L": "length:3",
+    "rad": "",
+    "sr": "",
+    "Hz": "time:-1",
     "N": "mass:1 length:1 time:-2",
+    "Pa": "mass:1 length:-1 time:-2",
     "J": "mass:1 length:2 time:-2",
     "W": "mass:1 length:2 time:-3",
-    "Pa": "mass:1 length:-1 time:-2",
-    "Hz": "time:-1",
+    "C": "current:1 time:1",
     "V": "mass:1 length:2 time:-3 current:-1",
+    "F": "mass:-1 length:-2 time:4 current:2",
+    "Ohm": "mass:1 length:2 time:-3 current:-2",
+    "S": "mass:-1 length:-2 time:3 current:2",
+    "Wb": "mass:1 length:2 time:-2 current:-1",
+    "T": "mass:1 time:-2 current:-1",
+    "H": "mass:1 length:2 time:-2 current:-2",
+    "Cel": "temperature:1",
+    "lm": "luminosity:1",
+    "lx": "luminosity:1 length:-2",
+    "Bq": "time:-1",
+    "Gy": "length:2 time:-2",
+    "Sv": "length:2 time:-2",
+    "kat": "amount:1 time:-1",
+    "L": "length:3",
+    "l": "length:3",
+    "ar": "length:2",
+    "t": "mass:1",
+    "u": "mass:1",
+    "bar": "mass:1 length:-1 time:-2",
+    "eV": "mass:1 length:2 time:-2",
+    "cal": "mass:1 length:2 time:-2",
+    "pc": "length:1",
+    "bit": "",
+    "By": "",
+}
+#: Units that don't.
+PLAIN = {
     "min": "time:1",
     "h": "time:1",
     "d": "time:1",
-    "t": "mass:1",
-    "1": "",
+    "wk": "time:1",
+    "mo": "time:1",
+    "a": "time:1",
+    "deg": "",
+    "AU": "length:1",
+    "%": "",
+    "10*": "",
+    "10^": "",
+    "[ppth]": "",
+    "[ppm]": "",
+    "[ppb]": "",
+    "[in_i]": "length:1",
+    "[ft_i]": "length:1",
+    "[yd_i]": "length:1",
+    "[mi_i]": "length:1",
+    "[nmi_i]": "length:1",
+    "[acr_us]": "length:2",
+    "[gal_us]": "length:3",
+    "[pt_us]": "length:3",
+    "[lb_av]": "mass:1",
+    "[oz_av]": "mass:1",
+    "[degF]": "temperature:1",
+    "atm": "mass:1 length:-1 time:-2",
 }
-PREFIXES = ("", "k", "c", "m", "u", "n", "M", "G", "d", "h")
+PREFIXES = ("Y", "Z", "E", "P", "T", "G", "M", "k", "h", "da", "d", "c", "m", "u", "n", "p", "f", "a", "z", "y", "Ki", "Mi", "Gi", "Ti")
+
+#: A piece of a unit: a bracket or operator, an annotation, or a symbol or factor with its exponent.
+_PIECE = re.compile(r"([().\/])|\{([^{}]*)\}|((?:10[*^])|(?:\[[^\[\]{}]+\])|%|[A-Za-z]+|[0-9]+(?![0-9*^]))([+-]?[0-9]+)?")
+
+
+def _exponents(symbol: str) -> dict[str, int] | None:
+    """Dimension exponents of a symbol, with a prefix where it takes one; null if it isn't known."""
+    known = PLAIN.get(symbol, METRIC.get(symbol))
+    if known is None and symbol.isdigit():
+        known = ""
+    if known is None:
+        known = next((METRIC[symbol[len(p) :]] for p in PREFIXES if symbol.startswith(p) and symbol[len(p) :] in METRIC), None)
+    return None if known is None else {k: int(n) for k, n in (x.split(":") for x in known.split())}
 
 
 def dimension(unit: str | None) -> str | None:
-    """Exponents of base dimensions of a unit such as kg.m/s2, as text in order; null if it isn't understood."""
-    import re
+    """Exponents of base dimensions of a unit such as kg.m/s2 or {tray}/(m2.a), as text in order; null if it isn't understood.
 
-    if unit is None:
+    A slash turns the next part alone; annotations in braces are numbers, whatever they follow.
+    """
+    if not unit:
         return None
     powers = dict.fromkeys(DIMENSIONS, 0)
-    sign = 1
-    for token in re.split(r"([./])", unit):
-        if token in (".", "/"):
-            sign = -1 if token == "/" else 1
-            continue
-        m = re.fullmatch(r"([A-Za-z]+|1)(-?[0-9]+)?", token)
+    signs, sign, open_part, at = [1], 1, True, 0
+    while at < len(unit):
+        m = _PIECE.match(unit, at)
         if not m:
             return None
-        symbol = m[1]
-        known = UNITS.get(symbol)
-        if known is None:
-            known = next((UNITS[symbol[len(p) :]] for p in PREFIXES if p and symbol.startswith(p) and symbol[len(p) :] in UNITS and symbol[len(p) :] != "1"), None)
-        if known is None:
+        mark, note, symbol, power = m[1], m[2], m[3], m[4]
+        if mark == "(" and open_part:
+            signs.append(signs[-1] * sign)
+            sign = 1
+        elif mark == ")" and not open_part and len(signs) > 1:
+            signs.pop()
+        elif mark == "/" or (mark == "." and not open_part):
+            if open_part and at:
+                return None
+            sign, open_part = (-1 if mark == "/" else 1), True
+        elif note is not None:
+            open_part = False
+        elif symbol and open_part:
+            found = _exponents(symbol)
+            if found is None:
+                return None
+            for name, n in found.items():
+                powers[name] += signs[-1] * sign * n * int(power or 1)
+            open_part = False
+        else:
             return None
-        for part in known.split():
-            name, n = part.split(":")
-            powers[name] += sign * int(n) * int(m[2] or 1)
+        at = m.end()
+    if open_part or len(signs) > 1:
+        return None
     return " ".join(f"{k}:{v}" for k, v in powers.items() if v)
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodegraph.operators import admission, fixpoint, merkle
+from lodegraph.operators import admission, fixpoint, merkle, quantities
 from lodegraph.sources import definitions, ids, node
 
 CID = ids.cid_of(b"kind")
@@ -83,3 +83,34 @@ def test_offers(spark):
     assert {(r["cid"], r["status"]) for r in node.offered(offers, store).collect()} == {(ids.cid_of(b"x"), "held"), (ids.cid_of(b"y"), "accepted")}
     asked = spark.createDataFrame([(ids.cid_of(b"x"),), (ids.cid_of(b"z"),), ("x",), (None,)], "cid string")
     assert sorted(r["status"] for r in node.looked_up(asked, store).collect()) == ["found", "ill-formed", "ill-formed", "unknown"]
+
+
+@pytest.mark.parametrize(
+    ("unit", "found"),
+    [
+        ("kg.m/s2", "length:1 mass:1 time:-2"),
+        ("N/m2", "length:-1 mass:1 time:-2"),
+        ("/s", "time:-1"),
+        ("J/(kg.K)", "length:2 time:-2 temperature:-1"),
+        ("m/(s.(s))", "length:1 time:-2"),
+        ("kg{CO2e}/{tray}", "mass:1"),
+        ("{tray}", ""),
+        ("10*3/uL", "length:-3"),
+        ("[ft_i]/min", "length:1 time:-1"),
+        ("mmol/L", "length:-3 amount:1"),
+        ("dam2", "length:2"),
+        ("MiBy", ""),
+        ("100.m-1", "length:-1"),
+        ("kmin", None),
+        ("m//s", None),
+        ("m.", None),
+        ("(m", None),
+        ("m)", None),
+        ("mm2m", None),
+        ("furlong", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_dimensions(unit, found):
+    assert quantities.dimension(unit) == found
