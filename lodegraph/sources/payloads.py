@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_cid
 from ..model import OUTCOMES
-from ..operators.standing import MOST_ROUNDS, Policy
+from ..operators.standing import MOST_ROUNDS, Policy, checked
 from . import cbor
 from .objects import field
 
@@ -40,6 +40,17 @@ def as_policy(row) -> Policy:
     return Policy(row["damping"], row["iterations"], row["tau"], row["delta_max"], row["replication_floor"], row["independence_distance"], row["decay_half_life_days"])
 
 
+def policy_body(policy: Policy, roots: dict[str, int], use_equivalence: bool = True) -> dict:
+    """The body of a policy object, as `policies` reads it: whole weights by key, one of them above zero."""
+    if not any(roots.values()) or min(roots.values()) < 0:
+        raise ValueError("a policy needs a root with weight, and none below zero")
+    checked(policy)
+    body = {"damping": policy.damping, "iterations": policy.rounds, "tau": policy.tau, "delta_max": policy.delta_max, "replication_floor": policy.replication_floor, "independence_distance": policy.independence_distance}
+    if policy.half_life is not None:
+        body["decay_half_life_days"] = policy.half_life
+    return body | {"equivalence": "trusted" if use_equivalence else "none", "roots": [{"key": k, "weight": w} for k, w in sorted(roots.items())]}
+
+
 def generations(objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(generations, added, removed) of generation records."""
     of = objects.filter("kind = 'generation'").select(field("domain").alias("domain"), field("index").cast("bigint").alias("idx"), field("parent").alias("parent"), field("snapshot").alias("snapshot"), field("added").alias("a"), field("removed").alias("r"))

@@ -1,9 +1,11 @@
 """Edge cases of definitions, admission checks, cycles and a node's answers."""
 
+import json
+
 import pytest
 
-from lodegraph.operators import admission, fixpoint, merkle, quantities
-from lodegraph.sources import definitions, ids, node
+from lodegraph.operators import admission, fixpoint, merkle, quantities, standing
+from lodegraph.sources import definitions, ids, node, payloads
 
 CID = ids.cid_of(b"kind")
 
@@ -77,6 +79,19 @@ def test_proofs_at_the_ends_and_in_an_empty_set(spark):
     assert [tuple(r) for r in node.membership_proofs(of(), of("a")).collect()] == [("a", "absent", True, merkle.EMPTY_ROOT)]
 
 
+def test_policies_come_back_as_they_were_written(spark):
+    policy = standing.Policy(damping=700_000, rounds=5, half_life=30)
+    of = spark.createDataFrame([("p", "policy", json.dumps(payloads.policy_body(policy, {"b": 2, "a": 0}, False)))], "cid string, kind string, body string")
+    found = payloads.policies(of)
+    row = found.first()
+    assert payloads.as_policy(row) == policy
+    assert (row["fault"], row["use_equivalence"]) == (None, False)
+    assert sorted(tuple(r) for r in payloads.policy_roots(found).collect()) == [("p", "a", 0), ("p", "b", 2_000_000)]
+    for roots in ({}, {"a": 0}, {"a": 1, "b": -1}):
+        with pytest.raises(ValueError):
+            payloads.policy_body(policy, roots)
+
+
 def test_offers(spark):
     store = spark.createDataFrame([(ids.cid_of(b"x"), bytearray(b"x"))], "cid string, content binary")
     offers = spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"y"),), (bytearray(b"y"),)], "content binary")
