@@ -68,11 +68,10 @@ def _backreference(low: Column) -> Column:
 
 def mentions(text: Column, word: Column) -> Column:
     """Whether a word stands in the lower-case text with no letter or digit at either side."""
-    pieces = F.split(F.lower(text), F.concat(F.lit(r"\Q"), word, F.lit(r"\E")))
-    side = lambda p, pattern: p.rlike(pattern)
-    n = F.size(pieces)
-    hit = F.exists(F.sequence(F.lit(0), n - 2), lambda i: ~side(F.get(pieces, i), r"[\p{L}\p{N}]$") & ~side(F.get(pieces, i + 1), r"^[\p{L}\p{N}]"))
-    return F.when((word == "") | (n < 2), F.lit(False)).otherwise(hit)
+    outside = r"[^\p{L}\p{N}]"
+    quoted = F.concat(F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    hit = lambda low: F.contains(low, word) & F.rlike(low, F.concat(F.lit(f"(^|{outside})"), quoted, F.lit(f"($|{outside})")))
+    return F.when(word == "", F.lit(False)).otherwise(_let(F.lower(text), hit))
 
 
 def findings(text: Column, atomic: Column | None = None, undeclared: Column | None = None) -> Column:

@@ -104,6 +104,13 @@ def test_lint_mentions(spark):
     assert evaluate(spark, *found) == (True, False, True, False)
 
 
+def test_lint_mentions_at_line_ends_and_repeats(spark):
+    asked = [("nterer\nof was", "of"), ("as was\n", "was"), ("heatheat", "heat"), ("xa-a-a", "a-a"), ("c++\nc++c", "c++"), (r"a\E(b c", r"\E(b"), (None, "of")]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(asked)], "i int, t string, w string")
+    found = df.select("i", lint.mentions(F.col("t"), F.col("w")).alias("m")).orderBy("i").collect()
+    assert [r.m for r in found] == [True, True, False, True, True, False, None]
+
+
 def test_names(spark):
     assert evaluate(spark, text.segment(F.lit("  Floor-Area (net) ")), text.term(F.lit("Mass (rest): kg")), text.file_name(F.lit("a/b c"))) == ("floor_area_net", "mass", "a_b%20c")
     assert evaluate(spark, text.is_tag(F.lit("abc-defghi-12-2024")), text.is_tag(F.lit("abc-defghi-13-2024")), text.is_decimal(F.lit("-1.50")), text.is_decimal(F.lit("1e3"))) == (True, False, True, False)
