@@ -104,11 +104,10 @@ def neighbours(members: DataFrame, asked: DataFrame) -> DataFrame:
     line = held(line.repartitionByRange("member").sortWithinPartitions("member").withColumn("part", F.spark_partition_id()))
     real = F.when(F.col("present"), F.col("member"))
     edges = line.groupBy("part").agg(F.min(real).alias("lo"), F.max(real).alias("hi"))  # a row per partition
-    across = Window.orderBy("part")
-    edges = edges.select("part", F.last("hi", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("hi_before"), F.first("lo", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("lo_after"))
-    within = Window.partitionBy("part").orderBy("member")
-    low, high = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(1, Window.unboundedFollowing)
-    near = line.select("part", "member", "present", "asked", F.last(real, True).over(low).alias("b"), F.first(real, True).over(high).alias("a")).filter("asked")
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  a frame from here on would be gone through again for every row
+    edges = edges.select("part", F.last("hi", True).over(up_to(Window.orderBy("part"))).alias("hi_before"), F.last("lo", True).over(up_to(Window.orderBy(F.desc("part")))).alias("lo_after"))
+    within = Window.partitionBy("part")
+    near = line.select("part", "member", "present", "asked", F.last(real, True).over(up_to(within.orderBy("member"))).alias("b"), F.last(real, True).over(up_to(within.orderBy(F.desc("member")))).alias("a")).filter("asked")
     return near.join(edges, "part").select("member", "present", F.coalesce("b", "hi_before").alias("before"), F.coalesce("a", "lo_after").alias("after"))
 
 

@@ -325,3 +325,16 @@ def test_affiliations_meet_by_a_sweep(spark):
                 up[max(u, v)] = min(u, v)
     assert got == {i: find(i) for i in range(90)}
     assert links.count() <= 3 * 90 and len(set(got.values())) > 9
+
+
+def test_neighbours_takes_each_row_once(spark, capsys):
+    from bisect import bisect_left, bisect_right
+
+    members = spark.range(3000).filter("id % 3 > 0").select(F.lpad(F.col("id").cast("string"), 6, "0").alias("member"))
+    asked = spark.range(0, 3200, 7).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("member"))
+    found = merkle.neighbours(members, asked)
+    held = sorted(r.member for r in members.collect())
+    side = lambda m: (m in held, held[bisect_left(held, m) - 1] if bisect_left(held, m) else None, held[bisect_right(held, m)] if bisect_right(held, m) < len(held) else None)
+    assert {r.member: (r.present, r.before, r.after) for r in found.collect()} == {r.member: side(r.member) for r in asked.collect()}
+    found.explain(True)
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()  # Spark reads such a frame to its end for every row
