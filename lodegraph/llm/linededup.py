@@ -58,9 +58,11 @@ def ranked(names: DataFrame, rows: int) -> DataFrame:
     parts = names.repartitionByRange(partitions(names.sparkSession), "a", "b").withColumn("part", F.spark_partition_id())
     own = Window.partitionBy("part").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     placed = saved(parts.withColumn("inside", F.coalesce(F.sum("n").over(own), F.lit(0))), "line-ranks").rows
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
-    base = placed.groupBy("part").agg(F.sum("n").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return placed.join(F.broadcast(base), "part").withColumn("rank", F.col("base") + F.col("inside")).drop("part", "inside", "base")
+    order = Window.orderBy("part")  # a row per part
+    base = F.coalesce(F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+    bases = placed.groupBy("part").agg(F.sum("n").alias("total")).select("part", base, (F.col("part") - F.coalesce(F.lag("part").over(order), F.lit(-1))).alias("width"))
+    by_part = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "base", "width"))), lambda x: F.array_repeat(x["base"], x["width"])))  # empty parts too
+    return placed.withColumn("rank", F.get(bases.agg(by_part).scalar(), F.col("part")) + F.col("inside")).drop("part", "inside")
 
 
 def intervals(blocks: DataFrame, name: str) -> Saved | None:

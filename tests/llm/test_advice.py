@@ -64,3 +64,16 @@ def test_stop_words_only_where_listed(spark):
     assert {r["doc_id"]: list(r["q_failed"]) for r in quality.quality_rules(df).collect()} == {1: [], 2: ["stop_word_share"], 3: ["stop_word_share"], 4: [], 5: []}
     assert {r["doc_id"] for r in quality.kept_documents(df).collect()} == {1, 4, 5}
     assert [list(r["q_failed"]) for r in quality.quality_rules(df.filter("doc_id = 1").drop("lang")).collect()] == [["stop_word_share"]]
+
+
+def test_ranks_of_many_names_need_no_join(spark, monkeypatch, capsys):
+    monkeypatch.setattr(linededup, "PART_ROWS", 1)
+    names = spark.range(1000).select((F.col("id") * 7919 % 50).alias("a"), F.col("id").alias("b"), (F.col("id") % 5 + 2).alias("n"))
+    one = spark.createDataFrame([(1, 1, 3)], "a long, b long, n long")
+    ranks = linededup.ranked(names, 1000)
+    got = sorted((r["a"], r["b"], r["n"], r["rank"]) for r in ranks.collect())
+    places = [sum(x[2] for x in got[:i]) for i in range(len(got))]
+    assert [x[3] for x in got] == places and len(got) == 1000
+    assert [r["rank"] for r in linededup.ranked(one, 2).collect()] == [0]
+    ranks.explain(True)
+    assert "Join" not in capsys.readouterr().out
