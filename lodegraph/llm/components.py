@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, spread_join
+from .common import Saved, saved, spread_join
 
 #: Links up to which a hub needs no care: a task that holds all of them is small.
 FEW_LINKS = 50_000
 
 
-def _joined(rows: DataFrame, least: DataFrame, few: bool) -> DataFrame:
-    """rows with the least neighbour m of their a; hubs, which later rounds make of labels, aren't dealt to one task."""
-    return rows.join(least.drop("n"), "a") if few else spread_join(rows, least, ["a"], "n")
+def _both(edges: DataFrame) -> DataFrame:
+    """Each link in both directions."""
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.explode(ends).alias("e")).select("e.a", "e.b")
+
+
+def _starred(rows: DataFrame, least: DataFrame, few: bool, star: Callable[[DataFrame], DataFrame]) -> Saved:
+    """The links that `star` makes of rows with the least neighbour m of their a; hubs, which later rounds make of labels,
+    aren't dealt to one task. Such a join names its table four times, so that is written first: the driver's memory goes
+    with the size of plans."""
+    if few:
+        return saved(star(rows.join(least.drop("n"), "a")).filter("a <> b").distinct(), "links")
+    table = saved(least, "least")
+    links = saved(star(spread_join(rows, table.rows, ["a"], "n")).filter("a <> b").distinct(), "links")
+    table.drop()
+    return links
 
 
-def _large_star(edges: DataFrame, few: bool) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> Saved:
     """Links each node's larger neighbours to the least of its neighbours and itself."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _both(edges)
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _joined(both.filter("b > a"), least, few).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return _starred(both.filter("b > a"), least, few, lambda x: x.select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame, few: bool) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> Saved:
     """Links each node and its smaller neighbours to the least of them. Edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = _joined(edges, least, few).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    return _starred(edges, least, few, lambda x: x.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,13 +55,9 @@ def components(links: DataFrame) -> DataFrame:
     seen = state(edges.rows)
     while seen["n"]:
         few = seen["n"] <= FEW_LINKS
-        larger = _large_star(edges.rows, few)
-        if not few:
-            star = saved(larger, "links")
-            after = saved(_small_star(star.rows, few), "links")
-            star.drop()
-        else:
-            after = saved(_small_star(larger, few), "links")
+        star = _large_star(edges.rows, few)
+        after = _small_star(star.rows, few)
+        star.drop()
         edges.drop()
         edges, now = after, state(after.rows)
         if now == seen:

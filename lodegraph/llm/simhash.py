@@ -67,16 +67,19 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     return given.mapInArrow(run, f"key {given.dtypes[0][1]}, fp long")
 
 
-def _keys(fp: Column, shared: int = 4) -> Column:
-    """One key for each set of `shared` byte positions: the set as 8 bits, then the bytes."""
-    byte = [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(0xFF)) for i in range(8)]
-    keys = []
-    for places in combinations(range(8), shared):
-        k = F.lit(sum(1 << i for i in places)).cast("bigint")
-        for i in places:
-            k = k * 256 + byte[i]
-        keys.append(k)
-    return F.array(*keys)
+def _longs(values: list[int]) -> Column:
+    """An array of signed 64-bit integers as one literal, which planning doesn't walk through."""
+    return F.lit(np.array(values, dtype=np.int64))
+
+
+def _keyed(fps: DataFrame, shared: int = 4) -> DataFrame:
+    """(fp, k): one key for each set of `shared` byte positions: the set as 8 bits, then the bytes."""
+    sets = list(combinations(range(8), shared))  # as numbers: the set, then 6 bits for the shift to each of its places
+    codes = [sum(1 << i for i in places) << 6 * shared | sum(8 * i << 6 * (shared - 1 - n) for n, i in enumerate(places)) for places in sets]
+    k = f"shiftright(code, {6 * shared})"
+    for n in reversed(range(shared)):
+        k = f"({k}) * 256 + (shiftrightunsigned(fp, cast(shiftright(code, {6 * n}) & 63 AS int)) & 255)"
+    return fps.select("fp", F.explode(_longs(codes)).alias("code")).select("fp", F.expr(k).alias("k"))
 
 
 def _tally(x: Column) -> Column:
@@ -88,7 +91,7 @@ def _within(fps: DataFrame, radius: int) -> DataFrame:
     """(a, b): stars that link fingerprints at up to 2 * radius bits: two are that close exactly if some number lies
     within `radius` bits of both, so the ones near each number, at most as many as there are masks, hang on the least."""
     masks = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(64), n)]
-    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks])
+    signed = _longs([m - (1 << 64) if m >> 63 else m for m in masks])
     spark = fps.sparkSession
     table = F.broadcast(spark.range(1).select(F.explode(signed).alias("mask")))  # some 2000 rows
     near = fps.join(table).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"))
@@ -107,7 +110,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         raise ValueError("distance must be from 0 to 4")
     parts = partitions(fps.sparkSession)
     spread = fps.select("fp").distinct().repartition(parts, F.xxhash64("fp"))  # few bytes, but 70 keys each: not to be coalesced
-    keyed = spread.select("fp", F.explode(_keys(F.col("fp"))).alias("k"))
+    keyed = _keyed(spread)
     shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     index = saved(keyed.join(shared, "k"), "simhash-index").rows  # posting lists of two entries or more
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -133,13 +136,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def _classed(fps: DataFrame, distance: int) -> DataFrame:
-    """(key, fp, component_id) of fps(key, fp). Copies of a text and members of a class may be any share of the rows."""
+    """(key, fp, component_id) of fps(key, fp). Copies of a text and members of a class may be any share of the rows.
+
+    A join with care for hot keys names its table four times, so every such table is written first: joins of joins would
+    put the making of the first into a plan dozens of times, and the driver's memory goes with the size of plans.
+    """
     nodes = saved(fps.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-nodes").rows
     labels = components(links(nodes, distance))
     labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", "copies", F.coalesce("label", "fp").alias("label"))
     labelled = saved(labelled, "simhash-labels").rows
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    ids = saved(labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "simhash-ids").rows
     by_fp = spread_join(labelled.select("fp", "copies", "label"), ids, ["label"], "members").select("fp", "copies", "component_id")
+    by_fp = saved(by_fp, "simhash-classes").rows
     return spread_join(fps, by_fp, ["fp"], "copies").select("key", "fp", "component_id")
 
 

@@ -8,7 +8,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm import components, licenses, linededup, mixing, packing, pii, quality, simhash, substring, tokenfile, tokens, topk
+from lodegraph.llm import common, components, licenses, linededup, mixing, packing, pii, quality, simhash, substring, tokenfile, tokens, topk
 
 CLASHING = "key long, unit string, fp string, copy int, mix_key string, ld_cut string, pii string, q_words string, part string, nth int, place int, sequence_id long, offset long, label string, node long, b string"
 
@@ -468,3 +468,24 @@ def test_components_of_a_hub(spark, monkeypatch):
     links = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(20)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(400)} | {500 + i: 500 for i in range(21)}
+
+
+def test_simhash_plans_stay_small(spark, monkeypatch):
+    """Tables that a plan reads, per plan written or returned: the driver's memory goes with them."""
+    sizes = []
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+    def counted(df, *args):
+        sizes.append(leaves(df))
+        return common.saved(df, *args)
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    monkeypatch.setattr(components, "saved", counted)
+    r = random.Random(3)
+    rows = [(8 * i + j, (p ^ 1 << r.randrange(64)) - (1 << 63)) for i, p in enumerate(r.getrandbits(64) for _ in range(20)) for j in range(8)]
+    prints = spark.createDataFrame(rows, "key long, fp long")
+    for limit in (components.FEW_LINKS, 1):
+        monkeypatch.setattr(components, "FEW_LINKS", limit)
+        found = simhash._classed(prints, 4)
+        assert max([*sizes, leaves(found)]) <= 8
+        assert {x["component_id"] for x in found.collect()} == {8 * i for i in range(20)}
