@@ -7,7 +7,7 @@ import numpy as np
 import plain
 import pytest
 
-from lodegraph.llm import mixing, queries, tokens
+from lodegraph.llm import common, components, mixing, queries, simhash, tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -75,6 +75,25 @@ def test_near_stage(stages):
     assert not {208, 209} & {r["doc_id"] for r in stages[3].collect()}
 
 
+def test_near_stage_plans_stay_small(spark, monkeypatch):
+    """Tables that a plan reads, per plan written or returned: the driver's memory goes with them."""
+    sizes = []
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+    def counted(df, *args):
+        sizes.append(leaves(df))
+        return common.saved(df, *args)
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    monkeypatch.setattr(components, "saved", counted)
+    r = random.Random(5)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(30)) for _ in range(12)]
+    docs = spark.createDataFrame([(100 * n + i, x, "en", "src0", len(x)) for i, x in enumerate(texts) for n in range(1 + i % 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert max([*sizes, leaves(kept)]) <= 8
+    assert {x["doc_id"] for x in kept.collect()} == set(range(12))
+
+
 def test_mixing_stage(stages):
     import hashlib
     from collections import Counter
