@@ -123,9 +123,10 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     met = left.join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b"))).withColumn("tally", _tally(x))
     counted = met.filter((F.bit_count("tally") >= 8 - distance) & (F.col("tally").bitwiseAND(upto) == chosen))  # once, at the first 4 shared places
     pairs = counted.filter(F.bit_count(x) <= distance).select("a", "b")
-    crowd = saved(index.filter(F.col("n") > LONG_LIST).select("fp").distinct(), "simhash-crowd").rows
-    if crowd.isEmpty():
+    longest = index.agg(F.max("n")).first()[0]
+    if (longest or 0) <= LONG_LIST:
         return pairs
+    crowd = saved(index.filter(F.col("n") > LONG_LIST).select("fp").distinct(), "simhash-crowd").rows
     stars = _within(crowd, distance // 2) if distance % 2 == 0 else _within(crowd, (distance + 1) // 2).filter(F.bit_count(x) <= distance)
     return pairs.union(stars)
 
@@ -138,15 +139,16 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 def _classed(fps: DataFrame, distance: int) -> DataFrame:
     """(key, fp, component_id) of fps(key, fp). Copies of a text and members of a class may be any share of the rows.
 
-    A join with care for hot keys names its table four times, so every such table is written first: joins of joins would
-    put the making of the first into a plan dozens of times, and the driver's memory goes with the size of plans.
+    A join with care for hot keys names its table several times, so every such table is written first: joins of joins
+    would put the making of the first into a plan dozens of times, and the driver's memory goes with the size of plans and
+    with the number of their stages and scans. Classes of one fingerprint, by far the most, take no part in the joins.
     """
     nodes = saved(fps.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-nodes").rows
     labels = components(links(nodes, distance))
-    labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", "copies", F.coalesce("label", "fp").alias("label"))
-    labelled = saved(labelled, "simhash-labels").rows
-    ids = saved(labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "simhash-ids").rows
-    by_fp = spread_join(labelled.select("fp", "copies", "label"), ids, ["label"], "members").select("fp", "copies", "component_id")
+    linked = saved(labels.join(nodes, labels["node"] == nodes["fp"]).select("fp", "least", "label"), "simhash-labels").rows
+    ids = saved(linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "simhash-ids").rows
+    found = spread_join(linked.select("fp", "label"), ids, ["label"], "members").select("fp", "component_id")
+    by_fp = nodes.join(found, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id"))
     by_fp = saved(by_fp, "simhash-classes").rows
     return spread_join(fps, by_fp, ["fp"], "copies").select("key", "fp", "component_id")
 

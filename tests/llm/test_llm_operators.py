@@ -470,6 +470,19 @@ def test_components_of_a_hub(spark, monkeypatch):
     assert got == {i: 0 for i in range(400)} | {500 + i: 500 for i in range(21)}
 
 
+def test_components_rounds_then_one_task(spark, monkeypatch):
+    """The same labels by one task, by rounds, and by rounds that leave few enough links for one task."""
+    r = random.Random(4)
+    chains = [(100 * c + i, 100 * c + i + 1) for c in range(4) for i in range(60)]
+    links = [(a, b) if r.random() < 0.5 else (b, a) for a, b in chains + [(100 * c, 100 * c + r.randint(2, 60)) for c in range(4) for _ in range(40)]]
+    df = spark.createDataFrame([*links, (7, 7), (None, 3), (900, None)], "a long, b long")
+    want = {x: 100 * (x // 100) for pair in links for x in pair}
+    for limit in (components.FEW_LINKS, 1, len(set(chains)) + 1):
+        monkeypatch.setattr(components, "FEW_LINKS", limit)
+        got = components.components(df).collect()
+        assert len(got) == len(want) and {x["node"]: x["label"] for x in got} == want
+
+
 def test_simhash_plans_stay_small(spark, monkeypatch):
     """Tables that a plan reads, per plan written or returned: the driver's memory goes with them."""
     sizes = []

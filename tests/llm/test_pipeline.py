@@ -94,6 +94,22 @@ def test_near_stage_plans_stay_small(spark, monkeypatch):
     assert {x["doc_id"] for x in kept.collect()} == set(range(12))
 
 
+def test_near_stage_jobs_are_few(spark):
+    """Every job leaves buffers of 4 MB on the driver's heap for each of its stages and scans; chains of links take rounds."""
+    r = random.Random(7)
+    words = [[str(r.randrange(10**6)) for _ in range(60)] for _ in range(4)]
+    texts = [" ".join(w[:i] + ["x"] * (i > 0) + w[i + 1 :]) for w in words for i in range(20)]
+    docs = spark.createDataFrame([(i, x, "en", "src0", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").localCheckpoint()
+    spark.sparkContext.setJobGroup("near-stage", "jobs of near_dedup")
+    try:
+        kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-stage"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == set(plain.classes([(i, plain.fingerprint(x)) for i, x in enumerate(texts)]))
+    assert jobs <= 40
+
+
 def test_mixing_stage(stages):
     import hashlib
     from collections import Counter
