@@ -112,7 +112,8 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     spread = fps.select("fp").distinct().repartition(parts, F.xxhash64("fp"))  # few bytes, but 70 keys each: not to be coalesced
     keyed = _keyed(spread)
     shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    index = saved(keyed.join(shared, "k"), "simhash-index").rows  # posting lists of two entries or more
+    # Spark sizes an explode as what goes into it, so it would broadcast 70 keys a fingerprint; and files by their bytes on disk.
+    index = saved(keyed.join(shared.hint("merge"), "k"), "simhash-index").rows  # posting lists of two entries or more
     x = F.col("a").bitwiseXOR(F.col("b"))
     chosen = F.shiftright("k", 32).cast("int")
     upto = chosen
@@ -120,7 +121,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         upto = upto.bitwiseOR(F.shiftright(upto, s))  # all positions up to the last chosen one
     short = index.filter(F.col("n") <= LONG_LIST)
     left, right = short.select("k", F.col("fp").alias("a")), short.select(F.col("k").alias("k2"), F.col("fp").alias("b"))
-    met = left.join(right, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b"))).withColumn("tally", _tally(x))
+    met = left.join(right.hint("merge"), (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b"))).withColumn("tally", _tally(x))
     counted = met.filter((F.bit_count("tally") >= 8 - distance) & (F.col("tally").bitwiseAND(upto) == chosen))  # once, at the first 4 shared places
     pairs = counted.filter(F.bit_count(x) <= distance).select("a", "b")
     longest = index.agg(F.max("n")).first()[0]

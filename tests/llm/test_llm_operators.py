@@ -463,6 +463,21 @@ def test_simhash_long_lists_as_stars(spark, monkeypatch):
             assert [got[i] for i in range(len(rows))] == (want if distance == 4 else plain.classes(list(enumerate(prints)), distance))
 
 
+def test_simhash_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the 70 keys of a fingerprint for one row, so it would send them to the driver up to some 600,000 fingerprints."""
+    plans = []
+    joins = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+
+    def seen(df, *args):
+        plans.append(joins(df))
+        return common.saved(df, *args)
+
+    monkeypatch.setattr(simhash, "saved", seen)
+    prints = spark.createDataFrame([(8 * i + (i % 5 == 0),) for i in range(100)], "fp long")
+    found = simhash.links(prints)
+    assert found.count() and [*plans, joins(found)] == [[], []]
+
+
 def test_components_of_a_hub(spark, monkeypatch):
     monkeypatch.setattr(components, "FEW_LINKS", 1)
     links = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(20)]
