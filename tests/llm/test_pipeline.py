@@ -110,6 +110,20 @@ def test_near_stage_jobs_are_few(spark):
     assert jobs <= 40
 
 
+def test_near_stage_keys_stay_off_the_driver(spark, monkeypatch):
+    """Index keys, 70 a fingerprint, are sized by Spark as the fingerprints they come from: by size alone it broadcasts them."""
+    plans = {}
+
+    def seen(df, name, *args):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.saved(df, name, *args)
+
+    monkeypatch.setattr(simhash, "saved", seen)
+    docs = spark.createDataFrame([(i, f"a b c d {i // 2}", "en", "src0", 9) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} <= set(range(0, 12, 2))
+    assert "SortMergeJoin" in plans["simhash-index"] and "BroadcastHashJoin" not in plans["simhash-index"]
+
+
 def test_mixing_stage(stages):
     import hashlib
     from collections import Counter
